@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The code points with the Unicode property White_Space.
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
-
+# The code points with the Unicode property White_Space, as classes for Python and for Java or RE2.
+PY_WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WS_CLASS = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 TOKEN_RE = f"[^{WS_CLASS}]+"
 WORD_RE = "[\\p{L}\\p{N}]+"
