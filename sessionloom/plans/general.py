@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.records import linked_entries
-from ..operators import forest
+from ..operators import drift, forest
 
 WS_SQL = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
@@ -68,3 +68,24 @@ FROM e LEFT JOIN down d USING (entry_key) LEFT JOIN descs s ON s.a = e.entry_key
 
 QUERIES = {"p5_found": p5_found, "p5_hierarchy": p5_hierarchy}
 ORACLE = {"p5_found": P5_FOUND_SQL, "p5_hierarchy": P5_HIERARCHY_SQL}
+
+
+def _changes(spark: SparkSession, d: str) -> DataFrame:
+    prof = drift.profiles(spark.read.parquet(f"{d}/raw_records.parquet"), spark.read.parquet(f"{d}/session_files.parquet"))
+    return drift.changes(prof)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _changes(spark, d).select("producer", F.col("file_seq").cast("int").alias("file_seq"), "record_type", "field_path")
+
+
+def p6_changes(spark: SparkSession, d: str) -> DataFrame:
+    return _changes(spark, d)
+
+
+def p6_unified(spark: SparkSession, d: str) -> DataFrame:
+    table = drift.unify(spark.read.parquet(f"{d}/raw_records.parquet"), drift.renames(_changes(spark, d)))
+    return table.withColumn("fields", F.to_json("fields"))
+
+
+QUERIES |= {"p6_found": p6_found, "p6_changes": p6_changes, "p6_unified": p6_unified}
