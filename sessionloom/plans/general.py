@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.records import linked_entries
-from ..operators import drift, forest
+from ..operators import drift, forest, orphans
 
 WS_SQL = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
@@ -89,3 +89,42 @@ def p6_unified(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p6_found": p6_found, "p6_changes": p6_changes, "p6_unified": p6_unified}
+
+
+def _orphans(spark: SparkSession, d: str) -> orphans.OrphanState:
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    return orphans.track(spark, orphans.session_log_deliveries(read("entries"), read("sessions"), read("tool_calls")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _orphans(spark, d).pending().select("table_name", "ref_field", "record_key")
+
+
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    state = _orphans(spark, d)
+    return state.history().where(F.col("batch") == state.seq).select("table_name", "ref_field", "month", "orphans")
+
+
+_FIRST = "min(ingested_at) OVER (PARTITION BY {k})::DATE AS first_day"
+P3_FOUND_SQL = f"""WITH
+e AS (SELECT *, {_FIRST.format(k='entry_key')}, row_number() OVER (PARTITION BY entry_key ORDER BY ingested_at DESC, row_id DESC) AS rn FROM entries),
+le AS (SELECT * FROM e WHERE rn = 1 AND deleted_at IS NULL),
+s AS (SELECT *, {_FIRST.format(k='session_key')}, row_number() OVER (PARTITION BY session_key ORDER BY ingested_at DESC) AS rn FROM sessions),
+ls AS (SELECT * FROM s WHERE rn = 1 AND deleted_at IS NULL),
+t AS (SELECT *, {_FIRST.format(k='call_key')}, row_number() OVER (PARTITION BY call_key ORDER BY ingested_at DESC) AS rn FROM tool_calls),
+targets AS (
+  SELECT kind, scope, id, min(first_day) AS since FROM (
+    SELECT 'entry' AS kind, session_key AS scope, {norm_sql('entry_id')} AS id, first_day FROM le
+    UNION ALL SELECT 'call', session_key, {norm_sql('tool_call_id')}, first_day FROM t WHERE rn = 1
+    UNION ALL SELECT 'session', '', {norm_sql('session_path')}, first_day FROM ls) GROUP BY 1, 2, 3),
+refs AS (
+  {" UNION ALL ".join(f"SELECT 'entries' AS table_name, '{f}' AS ref_field, CAST(entry_key AS VARCHAR) AS record_key, '{k}' AS kind, session_key AS scope, {norm_sql(f)} AS id, first_day FROM le WHERE {f} IS NOT NULL" for f, k in [("parent_id", "entry"), ("from_id", "entry"), ("target_id", "entry"), ("first_kept_entry_id", "entry"), ("message_tool_call_id", "call")])}
+  UNION ALL SELECT 'sessions', 'parent_session', session_key, 'session', '', {norm_sql('parent_session')}, first_day FROM ls WHERE parent_session IS NOT NULL),
+orphans AS (SELECT r.* FROM refs r LEFT JOIN targets t ON r.kind = t.kind AND r.scope = t.scope AND r.id = t.id WHERE t.since IS NULL OR t.since > r.first_day)
+"""
+
+QUERIES |= {"p3_found": p3_found, "p3_counts": p3_counts}
+ORACLE |= {
+    "p3_found": P3_FOUND_SQL + "SELECT table_name, ref_field, record_key FROM orphans",
+    "p3_counts": P3_FOUND_SQL + "SELECT table_name, ref_field, strftime(first_day, '%Y-%m') AS month, count(*) AS orphans FROM orphans GROUP BY ALL",
+}
