@@ -183,6 +183,31 @@ def pointer_doubling(spark: SparkSession, edges: DataFrame, with_paths: bool = F
     return out
 
 
+def trace(spark: SparkSession, edges: DataFrame, starts: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """Nodes met from each start, by squaring the successor table and marking what it reaches.
+
+    ``edges``: (node, parent), ``starts``: (start, node). Result: (start, node, pos), pos counting links
+    from the start. On a walk that returns to a node, nodes come out more than once.
+    """
+    jump, jump_path = materialize(spark, edges.where("parent is not null").select("node", F.col("parent").alias("ptr")), "trace-jump")
+    reach, reach_path = materialize(spark, starts.select("start", "node", F.lit(0).cast("long").alias("pos")), "trace-reach")
+    total = jump.count()
+    for r in range(max_rounds):
+        step = reach.join(jump, "node").select("start", F.col("ptr").alias("node"), (F.col("pos") + (1 << r)).alias("pos"))
+        nxt, nxt_path = materialize(spark, reach.unionByName(step), "trace-reach")
+        grown = nxt.count() > reach.count()
+        release(spark, reach_path)
+        reach, reach_path = nxt, nxt_path
+        if not grown or (1 << r) > total:
+            break
+        b = jump.select(F.col("node").alias("ptr"), F.col("ptr").alias("far"))
+        nj, nj_path = materialize(spark, jump.join(b, "ptr").select("node", F.col("far").alias("ptr")), "trace-jump")
+        release(spark, jump_path)
+        jump, jump_path = nj, nj_path
+    release(spark, jump_path)
+    return reach
+
+
 def as_nodes(df: DataFrame, scope: str, node: str, node_id: str, link_id: str) -> DataFrame:
     return df.select(F.col(scope).cast("string").alias("scope"), F.col(node).cast("long").alias("node"), F.col(node_id).alias("node_id"), F.col(link_id).alias("link_id")).where(F.col("node").isNotNull())
 
