@@ -27,7 +27,16 @@ judged AS (SELECT ls.session_key, CASE
   ELSE 'ok' END AS verdict FROM ls)
 """
 
+_PAIRS = f"""WITH {LIVE_ENTRIES_SQL},
+w AS (SELECT entry_key, list_transform(regexp_extract_all(message_content, '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x)) AS ws FROM live
+  WHERE record_type = 'message' AND message_role IN ('user', 'assistant')),
+t AS (SELECT DISTINCT entry_key, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS s FROM w WHERE len(ws) >= 24),
+n AS (SELECT entry_key, count(*) AS n FROM t GROUP BY 1),
+c AS (SELECT a.entry_key AS a, b.entry_key AS b, count(*) AS common FROM t a JOIN t b ON a.s = b.s AND a.entry_key < b.entry_key GROUP BY 1, 2)
+SELECT a AS entry_key_a, b AS entry_key_b FROM c JOIN n x ON x.entry_key = a JOIN n y ON y.entry_key = b WHERE 5 * common >= 3 * (x.n + y.n - common)"""
+
 ORACLE = {
+    "p2_found": _PAIRS,
     "p1_found": f"WITH {LIVE_ENTRIES_SQL}, {_LIMITS} SELECT entry_key FROM live JOIN lim USING (session_key) WHERE {_TOKENS} > max_tokens",
     "p4_found": _WALK + "SELECT session_key FROM judged WHERE verdict <> 'ok'",
     "p4_verdicts": _WALK + "SELECT session_key, verdict FROM judged",

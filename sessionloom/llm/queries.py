@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.records import current_rows, keep_live
 from . import conversations as conv
 from . import split
+from .neardup import NearDuplicates
 from .oracle import ORACLE  # noqa: F401
 
 QUERIES: dict = {}
@@ -56,3 +57,19 @@ def p4_verdicts(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p4_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conv.conversations(spark, spark.read.parquet(f"{d}/entries.parquet"), spark.read.parquet(f"{d}/sessions.parquet"))
+
+
+def _near(spark: SparkSession, d: str) -> NearDuplicates:
+    rows = spark.read.parquet(f"{d}/entries.parquet").select("entry_key", "row_id", "ingested_at", "deleted_at", "record_type", "message_role", "message_content")
+    turns = keep_live(rows).where((F.col("record_type") == "message") & F.col("message_role").isin("user", "assistant"))
+    return NearDuplicates(spark, turns.select(F.col("entry_key").alias("id"), F.col("message_content").alias("text")), width=3, similarity=(3, 5), least_words=24)
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).pairs().select(F.col("id_a").alias("entry_key_a"), F.col("id_b").alias("entry_key_b"))
+
+
+@query
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).groups().withColumnRenamed("id", "entry_key")
