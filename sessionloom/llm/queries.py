@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.records import current_rows, keep_live
 from . import conversations as conv
-from . import split
+from . import packing, split
+from .bpe import encode_corpus
 from .neardup import NearDuplicates
 from .oracle import ORACLE  # noqa: F401
 
@@ -73,3 +74,25 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d).groups().withColumnRenamed("id", "entry_key")
+
+
+@query
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(spark, spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).select("doc_id", "ids")
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(spark, spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/token_budgets.parquet"))
+
+
+@query
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+@query
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens and share of used space of each budget."""
+    used = _packed(spark, d).groupBy("budget_id").agg(F.countDistinct("container").alias("containers"), F.sum("n_tokens").alias("tokens"))
+    budgets = spark.read.parquet(f"{d}/token_budgets.parquet").select("budget_id", "capacity_tokens")
+    return used.join(budgets, "budget_id").withColumn("used_share", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
