@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.records import current_rows, keep_live
 from . import conversations as conv
-from . import packing, split
+from . import packing, split, truncation
 from .bpe import encode_corpus
 from .neardup import NearDuplicates
 from .oracle import ORACLE  # noqa: F401
@@ -96,3 +96,13 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     used = _packed(spark, d).groupBy("budget_id").agg(F.countDistinct("container").alias("containers"), F.sum("n_tokens").alias("tokens"))
     budgets = spark.read.parquet(f"{d}/token_budgets.parquet").select("budget_id", "capacity_tokens")
     return used.join(budgets, "budget_id").withColumn("used_share", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.judge(spark, spark.read.parquet(f"{d}/documents.parquet")).where("verdict <> 'whole'").select("doc_id")
+
+
+@query
+def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.by_source(spark, spark.read.parquet(f"{d}/documents.parquet"))
