@@ -22,12 +22,16 @@ TOKEN_BITS = 40
 
 def _sets(items: DataFrame, width: int, least_words: int) -> DataFrame:
     """(id, tokens): sorted distinct hashes of word runs, for items with enough words."""
-    spelled = items.select("id", words(F.col("text")).alias("w")).where(F.size("w") >= max(least_words, width))
-    run = F.transform(
-        F.sequence(F.lit(1), F.size("w") - (width - 1)),
-        lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get("w", i + (j - 1)) for j in range(width)]), 64 - TOKEN_BITS))
-    return spelled.select("id", F.array_sort(F.array_distinct(run)).alias("tokens"))
-
+    def runs(w: Column) -> Column:
+        hashes = F.transform(
+            F.sequence(F.lit(1), F.size(w) - (width - 1)),
+            lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(w, i + (j - 1)) for j in range(width)]), 64 - TOKEN_BITS))
+        return F.sort_array(F.array_distinct(hashes))
+
+    # the words are bound once as a lambda variable; an outer explode keeps filters on the result above it,
+    # where the optimizer cannot repeat the expression
+    spelled = F.filter(F.array(words(F.col("text"))), lambda w: F.size(w) >= max(least_words, width))
+    return items.select("id", F.explode_outer(F.transform(spelled, runs)).alias("tokens")).where("tokens is not null")
 
 def _at_least(num: int, den: int, n: Column) -> Column:
     """ceil(num * n / den) in whole numbers."""
