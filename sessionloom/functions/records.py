@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import small_side
 from .text import norm_id
 
 
@@ -29,13 +30,13 @@ def keep_live(df: DataFrame, key: str = "entry_key", row: str = "row_id", at: st
     """Live rows of a wide table without shuffling its wide columns for the ranking.
 
     Only the ids of stale rows (superseded or deleted, a small share) are computed from four narrow
-    columns; the wide side is filtered by an anti join, which AQE broadcasts when the measured stale
-    set is under the session's broadcast threshold and shuffles otherwise.
+    columns and written once; the wide side is filtered by an anti join that broadcasts them up to a
+    checked number and shuffles beyond it.
     """
     narrow = df.select(key, row, at, deleted)
     rn = F.row_number().over(W.partitionBy(key).orderBy(F.col(at).desc_nulls_last(), F.col(row).desc_nulls_last()))
     stale = narrow.withColumn("__rn", rn).where((F.col("__rn") > 1) | F.col(deleted).isNotNull() | F.col(key).isNull()).select(row)
-    return df.join(stale, row, "left_anti").where(F.col(row).isNotNull())
+    return df.join(small_side(df.sparkSession, stale, "stale-rows"), row, "left_anti").where(F.col(row).isNotNull())
 
 
 def link_column(prefix: str = "") -> Column:

@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -70,3 +71,14 @@ def release(spark: SparkSession, *paths: str | None) -> None:
         if p:
             target = jvm.org.apache.hadoop.fs.Path(p)
             target.getFileSystem(conf).delete(target, True)
+
+
+def small_side(spark: SparkSession, df: DataFrame, tag: str, most_rows: int = 500_000) -> DataFrame:
+    """df, written to the shared folder and counted: broadcast up to ``most_rows`` narrow rows, joined as it is beyond."""
+    kept, _ = materialize(spark, df, tag)
+    return F.broadcast(kept) if kept.count() <= most_rows else kept
+
+
+def reclaim(spark: SparkSession) -> None:
+    """Let the context cleaner drop the shuffle files of stages whose result is already materialised."""
+    spark._jvm.System.gc()
