@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..operators.components import components
-from ..runtime import materialize
+from ..runtime import materialize, reclaim, small_side
 
 RARE = 16
 TOKEN_BITS = 40
+#: Frequencies from here on count as equal; the order of tokens stays the same everywhere.
+MOST_DF = (1 << (63 - TOKEN_BITS)) - 1
 
 
 def _sets(items: DataFrame, width: int, least_words: int) -> DataFrame:
@@ -58,13 +60,15 @@ class NearDuplicates:
         self._links: DataFrame | None = None
 
     def _postings(self) -> DataFrame:
-        """(class_id, n, seen, tokens): tokens that other classes hold too, rarest first, of classes that can have a partner."""
+        """(class_id, n, tokens): tokens that other classes hold too, rarest first, of classes that can have a partner."""
         copies = self.members.where("id <> class_id").select("id")
         one = _sets(self.items.join(copies, "id", "left_anti"), self.width, self.least_words)
         rows = one.select(F.col("id").alias("class_id"), F.size("tokens").alias("n"), F.explode("tokens").alias("token")).repartition("token")
-        # the count and the join read the same exchange: every token row is shuffled once
-        often = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-        held = rows.join(often, "token").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+        # the count names every column, so that count and join read one exchange and each token row is shuffled once
+        often = rows.groupBy("token").agg(F.count_if(F.col("class_id").isNotNull() & F.col("n").isNotNull()).alias("df")).where("df > 1")
+        # one whole number holds frequency and token, in the order wanted
+        ranked = F.shiftleft(F.least("df", F.lit(MOST_DF)), TOKEN_BITS).bitwiseOR(F.col("token"))
+        held = rows.join(often, "token").groupBy("class_id", "n").agg(F.sort_array(F.collect_list(ranked)).alias("tokens"))
         return held.where(F.size("tokens") >= _at_least(self.num, self.den, F.col("n")))
 
     def links(self) -> DataFrame:
@@ -72,10 +76,11 @@ class NearDuplicates:
         if self._links is not None:
             return self._links
         held, _ = materialize(self.spark, self._postings(), "neardup-postings")
+        reclaim(self.spark)
         n, alone = F.col("n"), F.col("n") - F.size("tokens")
         room = n - _at_least(self.num, self.den, n) + 2 - alone
         pre = held.where(room > 0).select("class_id", "n", alone.alias("alone"), F.slice("tokens", F.lit(1), room.cast("int")).alias("pre"))
-        numbered = pre.select("class_id", "n", F.transform("pre", lambda t, i: F.struct(t["df"].alias("df"), t["token"].alias("token"), (i + F.col("alone")).alias("pos"))).alias("pre"))
+        numbered = pre.select("class_id", "n", F.transform("pre", lambda t, i: F.struct(F.shiftright(t, TOKEN_BITS).alias("df"), t.alias("token"), (i + F.col("alone")).alias("pos"))).alias("pre"))
         single = F.transform(F.filter("pre", lambda t: t["df"] <= self.rare), lambda t: F.struct(t["token"].alias("key"), t["pos"].alias("pos")))
         common = F.filter("pre", lambda t: t["df"] > self.rare)
         split = numbered.select("class_id", "n", single.alias("single"), common.alias("common"))
@@ -90,7 +95,9 @@ class NearDuplicates:
         best = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
         enough = best * (self.num + self.den) >= (F.col("n_a") + F.col("n_b")) * self.num
         pairs = met.groupBy("class_a", "class_b", "n_a", "n_b").agg(F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b")).where(enough).select("class_a", "class_b", "n_a", "n_b")
-        bags = held.select("class_id", F.col("tokens.token").alias("t"))
+        pairs, _ = materialize(self.spark, pairs, "neardup-candidates")
+        met_classes = small_side(self.spark, pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct(), "neardup-candidate-classes")
+        bags = held.select("class_id", F.col("tokens").alias("t")).join(met_classes, "class_id", "left_semi")
         both = pairs.join(bags.select(F.col("class_id").alias("class_a"), F.col("t").alias("t_a")), "class_a").join(bags.select(F.col("class_id").alias("class_b"), F.col("t").alias("t_b")), "class_b")
         checked = both.withColumn("common", F.size(F.array_intersect("t_a", "t_b")))
         near = checked.where(F.col("common") * (self.num + self.den) >= (F.col("n_a") + F.col("n_b")) * self.num)
