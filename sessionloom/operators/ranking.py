@@ -97,6 +97,7 @@ def neighbour_context(ranked: DataFrame, documents: DataFrame) -> DataFrame:
 
     Overlapping characters appear once; a gap on one side leaves that sibling out; other results keep null.
     """
+    documents = documents.drop(*[c for c in ranked.columns if c != "id"])
     own = ranked.select("query_id", "id").join(documents, "id").where(is_atomic())
     pairs = []
     for side, link, first in (("before", "previous_sibling_id", False), ("after", "next_sibling_id", True)):
