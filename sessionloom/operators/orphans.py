@@ -9,6 +9,8 @@ deliveries are cut into batches, as long as batches follow each other in deliver
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,9 +139,9 @@ def track(spark: SparkSession, rows: DataFrame, period: str = "quarter") -> Orph
     The deliveries are written once, partitioned by period, so that each batch reads only its own rows.
     An empty input gives an empty waiting set.
     """
-    path = f"{shared_folder(spark)}/sessionloom/orphans-input-{id(rows)}-{spark.sparkContext.startTime}"
+    path = f"{shared_folder(spark)}/sessionloom/{spark.sparkContext.applicationId}/orphans-input-{uuid.uuid4().hex}"
     staged = rows.withColumn("period", F.trunc(F.to_date("at"), period))
-    staged.write.mode("overwrite").partitionBy("period").parquet(path)
+    staged.write.partitionBy("period").parquet(path)
     state = OrphanState(spark)
     read = spark.read.schema(staged.schema).parquet(path)
     periods = [r[0] for r in read.select("period").distinct().orderBy("period").collect()]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.records import linked_entries
 from ..operators import drift, forest, orphans
+from ..runtime import materialize
 
 WS_SQL = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
@@ -72,7 +73,7 @@ ORACLE = {"p5_found": P5_FOUND_SQL, "p5_hierarchy": P5_HIERARCHY_SQL}
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
     prof = drift.profiles(spark.read.parquet(f"{d}/raw_records.parquet"), spark.read.parquet(f"{d}/session_files.parquet"))
-    return drift.changes(prof)
+    return drift.changes(materialize(spark, prof, "drift-profiles")[0])  # lines are parsed once
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

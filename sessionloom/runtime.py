@@ -58,8 +58,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(spark: SparkSession, df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_folder(spark)}/sessionloom/{tag}-{uuid.uuid4().hex}"
+    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Tables lie in a subfolder of the application, which may be deleted when it has ended.
+    """
+    path = f"{shared_folder(spark)}/sessionloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
