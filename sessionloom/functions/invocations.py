@@ -11,7 +11,6 @@ from decimal import Decimal
 PAYLOAD_NAMES = {"code", "data", "image", "images", "instructions", "output", "prompts", "scripts", "stderr", "stdout", "task", "text"}
 PAYLOAD_ENDINGS = ("body", "content", "filebody", "filecontent", "newtext", "oldtext", "prompt", "replacement", "replacementtext", "script")
 SCALAR_LIMIT, TEXT_LIMIT = 1024, 4096
-OWN_TOOL = "pi-session-recall"
 
 
 def is_payload(name: str) -> bool:
@@ -94,11 +93,11 @@ def shell_error(message: dict) -> bool | None:
     return code != 0 if isinstance(code, (int, float)) and not isinstance(code, bool) else None
 
 
-def invocations(entries: list[dict]) -> list[dict]:
+def invocations(entries: list[dict], own_tools: frozenset[str] = frozenset()) -> list[dict]:
     """Records of one session's entries ({id, timestamp, line, record}): tool calls and shell executions.
 
     A call's error flag comes from the last result with its id. Calls with a blank id or name and calls of
-    the recall tool itself are left out.
+    ``own_tools`` (the search tool itself, whose queries would only find themselves) are left out.
     """
     errors: dict[str, bool | None] = {}
     for e in entries:
@@ -115,6 +114,6 @@ def invocations(entries: list[dict]) -> list[dict]:
             out.append(base | {"kind": "bash_execution", "tool_name": "bash", "tool_call_id": None, "block": None, "is_error": shell_error(m), "text": searchable_text("bash", {"command": m["command"]})})
         elif m.get("role") == "assistant" and isinstance(m.get("content"), list):
             for i, b in enumerate(m["content"]):
-                if isinstance(b, dict) and b.get("type") == "toolCall" and isinstance(b.get("id"), str) and isinstance(b.get("name"), str) and b["id"] and b["name"] and b["name"] != OWN_TOOL:
+                if isinstance(b, dict) and b.get("type") == "toolCall" and isinstance(b.get("id"), str) and isinstance(b.get("name"), str) and b["id"] and b["name"] and b["name"] not in own_tools:
                     out.append(base | {"kind": "tool_call", "tool_name": b["name"], "tool_call_id": b["id"], "block": i, "is_error": errors.get(b["id"]), "text": searchable_text(b["name"], b.get("arguments"))})
     return out

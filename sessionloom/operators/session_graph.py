@@ -260,8 +260,8 @@ def project_sessions(records: DataFrame, policy: ck.ChunkPolicy | None = None, c
     return records.where("error is null").groupBy("session_path", "session_no").applyInPandas(run, DOCUMENT)
 
 
-def project_invocations(records: DataFrame) -> DataFrame:
-    """Tool calls and shell executions of all valid sessions."""
+def project_invocations(records: DataFrame, own_tools: frozenset[str] = frozenset()) -> DataFrame:
+    """Tool calls and shell executions of all valid sessions, without calls of ``own_tools``."""
     names = [c.split()[0] for c in INVOCATION.split(", ")]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -270,7 +270,7 @@ def project_invocations(records: DataFrame) -> DataFrame:
             g = Graph(_records(group))
         except ValueError:
             return pd.DataFrame([], columns=names)
-        rows = [r | {"session_path": path, "session_id": sid, "cwd": g.header["cwd"]} for r in invocations(g.entries)]
+        rows = [r | {"session_path": path, "session_id": sid, "cwd": g.header["cwd"]} for r in invocations(g.entries, own_tools)]
         out = pd.DataFrame(rows, columns=names).astype(object)
         return out.where(out.notna(), None)
 
