@@ -81,22 +81,27 @@ class NearDuplicates:
         room = n - _at_least(self.num, self.den, n) + 2 - alone
         pre = held.where(room > 0).select("class_id", "n", alone.alias("alone"), F.slice("tokens", F.lit(1), room.cast("int")).alias("pre"))
         numbered = pre.select("class_id", "n", "alone", F.transform("pre", lambda t, i: F.struct(F.shiftright(t, TOKEN_BITS).alias("df"), t.alias("token"), (i + F.col("alone")).alias("pos"))).alias("pre"))
-        single = F.transform(F.filter("pre", lambda t: t["df"] <= self.rare), lambda t: F.struct(t["token"].alias("key"), t["pos"].alias("pos")))
+        single = F.transform(F.filter("pre", lambda t: t["df"] <= self.rare), lambda t: F.struct(t["token"].alias("key"), t["pos"].alias("pos"), F.lit(True).alias("one")))
         common = F.filter("pre", lambda t: t["df"] > self.rare)
         split = numbered.select("class_id", "n", "alone", single.alias("single"), common.alias("common"))
         double = F.flatten(F.transform("common", lambda x, i: F.transform(
-            F.slice(F.col("common"), i + 2, F.size("common")), lambda y: F.struct(F.xxhash64(x["token"], y["token"]).alias("key"), x["pos"].alias("pos")))))
-        index = split.select("class_id", "n", "alone", F.explode(F.concat("single", double)).alias("k")).select("class_id", F.col("n").cast("int").alias("n"), F.col("alone").cast("int").alias("alone"), "k.key", F.col("k.pos").cast("int").alias("pos"))
-        side = lambda x: index.select("key", *[F.col(c).alias(f"{c.removesuffix('_id')}_{x}") for c in ("class_id", "n", "alone", "pos")])
+            F.slice(F.col("common"), i + 2, F.size("common")), lambda y: F.struct(F.xxhash64(x["token"], y["token"]).alias("key"), x["pos"].alias("pos"), F.lit(False).alias("one")))))
+        index = split.select("class_id", "n", "alone", F.size("common").alias("paired"), F.explode(F.concat("single", double)).alias("k")).select(
+            "class_id", F.col("n").cast("int").alias("n"), F.col("alone").cast("int").alias("alone"), "paired", "k.key", F.col("k.pos").cast("int").alias("pos"), "k.one")
+        side = lambda x: index.select("key", "one", *[F.col(c).alias(f"{c.removesuffix('_id')}_{x}") for c in ("class_id", "n", "alone", "paired", "pos")])
         sized = F.least("n_a", "n_b") * self.den >= F.greatest("n_a", "n_b") * self.num
         behind = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
         ahead = F.least(F.col("pos_a") - F.col("alone_a"), F.col("pos_b") - F.col("alone_b"))
         wanted = (F.col("n_a") + F.col("n_b")) * self.num
         # common tokens lie behind the met one, or ahead of it among those that other classes hold too
-        met = side("a").join(side("b"), "key").where((F.col("class_a") < F.col("class_b")) & sized & ((behind + ahead) * (self.num + self.den) >= wanted))
+        met = side("a").join(side("b"), ["key", "one"]).where((F.col("class_a") < F.col("class_b")) & sized & ((behind + ahead) * (self.num + self.den) >= wanted))
         # every common token from the first on lies behind the first one's position in both sets
         enough = behind * (self.num + self.den) >= wanted
-        pairs = met.groupBy("class_a", "class_b", "n_a", "n_b").agg(F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b")).where(enough).select("class_a", "class_b", "n_a", "n_b")
+        # common tokens are met alone, or are frequent ones of both prefixes, or lie behind one of the prefixes
+        rest = F.greatest(_at_least(self.num, self.den, F.greatest("n_a", "n_b")) - 2, F.lit(0))
+        counted = (F.col("met") + F.least("paired_a", "paired_b") + rest) * (self.num + self.den) >= wanted
+        sizes = ["n_a", "n_b", "paired_a", "paired_b"]
+        pairs = met.groupBy("class_a", "class_b", *sizes).agg(F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b"), F.count_if("one").alias("met")).where(enough & counted).select("class_a", "class_b", "n_a", "n_b")
         pairs, _ = materialize(self.spark, pairs, "neardup-candidates")
         met_classes = small_side(self.spark, pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct(), "neardup-candidate-classes")
         bags = held.select("class_id", F.col("tokens").alias("t")).join(met_classes, "class_id", "left_semi")
