@@ -86,4 +86,5 @@ def small_side(spark: SparkSession, df: DataFrame, tag: str, most_rows: int = 50
 def reclaim(spark: SparkSession) -> None:
     """Let the context cleaner drop the shuffle files of stages whose result is already materialised."""
     gc.collect()  # drops Python's handles on finished plans
-    spark._jvm.System.gc()
+    for _ in range(2):  # plans first, then the shuffles that only they referred to
+        spark._jvm.System.gc()
