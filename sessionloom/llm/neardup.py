@@ -59,8 +59,11 @@ class NearDuplicates:
         self.members, _ = materialize(spark, marked.join(first, ["n", "s1", "s2"]).select("id", "class_id"), "neardup-members")
         self._links: DataFrame | None = None
 
-    def _postings(self) -> DataFrame:
-        """(class_id, n, tokens): tokens that other classes hold too, rarest first, of classes that can have a partner."""
+    def _prefixes(self) -> DataFrame:
+        """(class_id, n, alone, pre) of classes that can have a partner: the extended prefix, rarest first.
+
+        ``pre`` leaves out the ``alone`` tokens that no other class holds; they come first in the order.
+        """
         copies = self.members.where("id <> class_id").select("id")
         one = _sets(self.items.join(copies, "id", "left_anti"), self.width, self.least_words)
         rows = one.select(F.col("id").alias("class_id"), F.size("tokens").alias("n"), F.explode("tokens").alias("token")).repartition("token")
@@ -69,17 +72,17 @@ class NearDuplicates:
         # one whole number holds frequency and token, in the order wanted
         ranked = F.shiftleft(F.least("df", F.lit(MOST_DF)), TOKEN_BITS).bitwiseOR(F.col("token"))
         held = rows.join(often, "token").groupBy("class_id", "n").agg(F.sort_array(F.collect_list(ranked)).alias("tokens"))
-        return held.where(F.size("tokens") >= _at_least(self.num, self.den, F.col("n")))
+        n, alone = F.col("n"), F.col("n") - F.size("tokens")
+        room = n - _at_least(self.num, self.den, n) + 2 - alone
+        able = held.where((F.size("tokens") >= _at_least(self.num, self.den, n)) & (room > 0))
+        return able.select("class_id", "n", alone.alias("alone"), F.slice("tokens", F.lit(1), room.cast("int")).alias("pre"))
 
     def links(self) -> DataFrame:
         """(class_a, class_b, common, n_a, n_b): pairs of different classes with at least the similarity, a < b."""
         if self._links is not None:
             return self._links
-        held, _ = materialize(self.spark, self._postings(), "neardup-postings")
+        pre, _ = materialize(self.spark, self._prefixes(), "neardup-prefixes")
         reclaim(self.spark)
-        n, alone = F.col("n"), F.col("n") - F.size("tokens")
-        room = n - _at_least(self.num, self.den, n) + 2 - alone
-        pre = held.where(room > 0).select("class_id", "n", alone.alias("alone"), F.slice("tokens", F.lit(1), room.cast("int")).alias("pre"))
         numbered = pre.select("class_id", "n", "alone", F.transform("pre", lambda t, i: F.struct(F.shiftright(t, TOKEN_BITS).alias("df"), t.alias("token"), (i + F.col("alone")).alias("pos"))).alias("pre"))
         single = F.transform(F.filter("pre", lambda t: t["df"] <= self.rare), lambda t: F.struct(t["token"].alias("key"), t["pos"].alias("pos"), F.lit(True).alias("one")))
         common = F.filter("pre", lambda t: t["df"] > self.rare)
@@ -104,7 +107,9 @@ class NearDuplicates:
         pairs = met.groupBy("class_a", "class_b", *sizes).agg(F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b"), F.count_if("one").alias("met")).where(enough & counted).select("class_a", "class_b", "n_a", "n_b")
         pairs, _ = materialize(self.spark, pairs, "neardup-candidates")
         met_classes = small_side(self.spark, pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct(), "neardup-candidate-classes")
-        bags = held.select("class_id", F.col("tokens").alias("t")).join(met_classes, "class_id", "left_semi")
+        reclaim(self.spark)
+        texts = self.items.withColumnRenamed("id", "class_id").join(met_classes, "class_id", "left_semi")
+        bags = _sets(texts.withColumnRenamed("class_id", "id"), self.width, self.least_words).select(F.col("id").alias("class_id"), F.col("tokens").alias("t"))
         both = pairs.join(bags.select(F.col("class_id").alias("class_a"), F.col("t").alias("t_a")), "class_a").join(bags.select(F.col("class_id").alias("class_b"), F.col("t").alias("t_b")), "class_b")
         checked = both.withColumn("common", F.size(F.array_intersect("t_a", "t_b")))
         near = checked.where(F.col("common") * (self.num + self.den) >= (F.col("n_a") + F.col("n_b")) * self.num)
