@@ -9,14 +9,26 @@ Candidates pass a length and a position bound and are then verified by intersect
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..operators.components import components
-from ..runtime import materialize, reclaim, small_side
+from ..runtime import materialize, release, small_side
 
+#: Tokens held by more classes are indexed only in combination with others.
 RARE = 64
+#: Posting lists of combinations above this length are extended by one more token where that lessens the pairs.
+HOT = 256
+MOST_TOKENS = 6
+#: Up to this many frequencies are sent to the tasks; more are joined.
+MOST_KNOWN = 500_000
+#: Frequencies up to this one need not be told apart for the order, if that keeps the sent table small.
+TOLD_FROM = 8
 TOKEN_BITS = 40
 #: Frequencies from here on count as equal; the order of tokens stays the same everywhere.
 MOST_DF = (1 << (63 - TOKEN_BITS)) - 1
@@ -40,6 +52,30 @@ def _at_least(num: int, den: int, n: Column) -> Column:
     return ((n.cast("long") * num + (den - 1)) / den).cast("long")
 
 
+def _cutter(known, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Arrow function that orders each set by (told frequency, hash) and keeps its extended prefix."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, often = known.value
+        order = np.argsort(tokens)
+        tokens, often = tokens[order], often[order]
+        for batch in batches:
+            sets = batch.column("tokens")
+            flat, n = sets.flatten().to_numpy(), sets.value_lengths().to_numpy()
+            at = np.minimum(np.searchsorted(tokens, flat), max(len(tokens) - 1, 0))
+            told = np.where(tokens[at] == flat, often[at], 0) if len(tokens) else np.zeros(len(flat), np.int64)
+            ranked = (told << TOKEN_BITS) | flat
+            row = np.repeat(np.arange(len(n)), n)
+            ranked = ranked[np.lexsort((ranked, row))]
+            keep = np.minimum(n, n - (n.astype(np.int64) * num + den - 1) // den + MOST_TOKENS)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            ends = np.concatenate(([0], np.cumsum(keep))).astype(np.int32)
+            pre = pa.ListArray.from_arrays(pa.array(ends), pa.array(ranked[place < np.repeat(keep, n)]))
+            yield pa.RecordBatch.from_arrays([batch.column("class_id"), pa.array(n, pa.int32()), pre], ["class_id", "n", "pre"])
+
+    return cut
+
+
 class NearDuplicates:
     """The similarity join of one table of (id, text): classes, links between classes, pairs, groups.
 
@@ -48,8 +84,8 @@ class NearDuplicates:
     ids must be unique and not null (others are dropped); extra columns are ignored.
     """
 
-    def __init__(self, spark: SparkSession, items: DataFrame, width: int = 5, similarity: tuple[int, int] = (4, 5), least_words: int = 1, rare: int = RARE):
-        self.spark, self.rare = spark, rare
+    def __init__(self, spark: SparkSession, items: DataFrame, width: int = 5, similarity: tuple[int, int] = (4, 5), least_words: int = 1, rare: int = RARE, hot: int = HOT, most_known: int = MOST_KNOWN):
+        self.spark, self.rare, self.hot, self.most_known = spark, rare, hot, most_known
         self.num, self.den = similarity
         self.items = items.select(F.col("id").cast("long").alias("id"), "text").where("id is not null and text is not null")
         self.width, self.least_words = width, least_words
@@ -58,64 +94,118 @@ class NearDuplicates:
         first = marked.groupBy("n", "s1", "s2").agg(F.min("id").alias("class_id"))
         self.members, _ = materialize(spark, marked.join(first, ["n", "s1", "s2"]).select("id", "class_id"), "neardup-members")
         self._links: DataFrame | None = None
+        self._scratch: list[str] = []
 
     def _prefixes(self) -> DataFrame:
-        """(class_id, n, alone, pre) of classes that can have a partner: the extended prefix, rarest first.
+        """(class_id, n, pre): each class's extended prefix, rarest tokens first.
 
-        ``pre`` leaves out the ``alone`` tokens that no other class holds; they come first in the order.
+        Frequencies are counted over all classes, combined in the map tasks. Only those above a floor
+        matter for the order: tokens below it are ordered by their hash, which is the same everywhere.
+        So the prefix is cut in the row that holds the set, and no token row is shuffled to its class;
+        beyond ``most_known`` frequent tokens the frequencies are joined instead.
         """
-        copies = self.members.where("id <> class_id").select("id")
-        one = _sets(self.items.join(copies, "id", "left_anti"), self.width, self.least_words)
-        rows = one.select(F.col("id").alias("class_id"), F.size("tokens").alias("n"), F.explode("tokens").alias("token")).repartition("token")
-        # the count names every column, so that count and join read one exchange and each token row is shuffled once
-        often = rows.groupBy("token").agg(F.count_if(F.col("class_id").isNotNull() & F.col("n").isNotNull()).alias("df")).where("df > 1")
-        # one whole number holds frequency and token, in the order wanted
-        ranked = F.shiftleft(F.least("df", F.lit(MOST_DF)), TOKEN_BITS).bitwiseOR(F.col("token"))
-        held = rows.join(often, "token").groupBy("class_id", "n").agg(F.sort_array(F.collect_list(ranked)).alias("tokens"))
-        n, alone = F.col("n"), F.col("n") - F.size("tokens")
-        room = n - _at_least(self.num, self.den, n) + 2 - alone
-        able = held.where((F.size("tokens") >= _at_least(self.num, self.den, n)) & (room > 0))
-        return able.select("class_id", "n", alone.alias("alone"), F.slice("tokens", F.lit(1), room.cast("int")).alias("pre"))
+        copies = small_side(self.spark, self.members.where("id <> class_id").select("id"), "neardup-copies")
+        sets = _sets(self.items.join(copies, "id", "left_anti"), self.width, self.least_words).withColumnRenamed("id", "class_id")
+        rows = sets.select("class_id", F.explode("tokens").alias("token"))
+        low = min(TOLD_FROM, self.rare)
+        told, _ = materialize(self.spark, rows.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > low), "neardup-frequencies")
+        told = told.withColumn("df", F.least("df", F.lit(MOST_DF)))
+        sent = next((t for t in (told, told.where(F.col("df") > self.rare)) if t.count() <= self.most_known), None)
+        room = lambda n: n - _at_least(self.num, self.den, n) + MOST_TOKENS
+        if sent is not None:
+            table = sent.toArrow()
+            known = self.spark.sparkContext.broadcast((table["token"].to_numpy(), table["df"].to_numpy()))
+            return sets.mapInArrow(_cutter(known, self.num, self.den), "class_id long, n int, pre array<long>")
+        ranked = F.shiftleft(F.coalesce("df", F.lit(0).cast("long")), TOKEN_BITS).bitwiseOR(F.col("token"))
+        held = rows.join(told, "token", "left").groupBy("class_id").agg(F.sort_array(F.collect_list(ranked)).alias("tokens"))
+        n = F.size("tokens")
+        return held.select("class_id", n.alias("n"), F.slice("tokens", F.lit(1), room(n).cast("int")).alias("pre"))
 
     def links(self) -> DataFrame:
         """(class_a, class_b, common, n_a, n_b): pairs of different classes with at least the similarity, a < b."""
         if self._links is not None:
             return self._links
-        pre, _ = materialize(self.spark, self._prefixes(), "neardup-prefixes")
-        reclaim(self.spark)
-        numbered = pre.select("class_id", "n", "alone", F.transform("pre", lambda t, i: F.struct(F.shiftright(t, TOKEN_BITS).alias("df"), t.alias("token"), (i + F.col("alone")).alias("pos"))).alias("pre"))
-        single = F.transform(F.filter("pre", lambda t: t["df"] <= self.rare), lambda t: F.struct(t["token"].alias("key"), t["pos"].alias("pos"), F.lit(True).alias("one")))
-        common = F.filter("pre", lambda t: t["df"] > self.rare)
-        split = numbered.select("class_id", "n", "alone", single.alias("single"), common.alias("common"))
-        double = F.flatten(F.transform("common", lambda x, i: F.transform(
-            F.slice(F.col("common"), i + 2, F.size("common")), lambda y: F.struct(F.xxhash64(x["token"], y["token"]).alias("key"), x["pos"].alias("pos"), F.lit(False).alias("one")))))
-        index = split.select("class_id", "n", "alone", F.size("common").alias("paired"), F.explode(F.concat("single", double)).alias("k")).select(
-            "class_id", F.col("n").cast("int").alias("n"), F.col("alone").cast("int").alias("alone"), "paired", "k.key", F.col("k.pos").cast("int").alias("pos"), "k.one")
-        side = lambda x: index.select("key", "one", *[F.col(c).alias(f"{c.removesuffix('_id')}_{x}") for c in ("class_id", "n", "alone", "paired", "pos")])
+        index = self._index()
+        side = lambda x: index.select("key", "one", *[F.col(c).alias(f"{c.removesuffix('_id')}_{x}") for c in ("class_id", "n", "paired", "pos")])
         sized = F.least("n_a", "n_b") * self.den >= F.greatest("n_a", "n_b") * self.num
         behind = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-        ahead = F.least(F.col("pos_a") - F.col("alone_a"), F.col("pos_b") - F.col("alone_b"))
         wanted = (F.col("n_a") + F.col("n_b")) * self.num
-        # common tokens lie behind the met one, or ahead of it among those that other classes hold too
-        met = side("a").join(side("b"), ["key", "one"]).where((F.col("class_a") < F.col("class_b")) & sized & ((behind + ahead) * (self.num + self.den) >= wanted))
+        # common tokens lie behind the met one or ahead of it
+        met = side("a").join(side("b"), ["key", "one"]).where((F.col("class_a") < F.col("class_b")) & sized & ((behind + F.least("pos_a", "pos_b")) * (self.num + self.den) >= wanted))
         # every common token from the first on lies behind the first one's position in both sets
         enough = behind * (self.num + self.den) >= wanted
         # common tokens are met alone, or are frequent ones of both prefixes, or lie behind one of the prefixes
-        rest = F.greatest(_at_least(self.num, self.den, F.greatest("n_a", "n_b")) - 2, F.lit(0))
+        rest = F.greatest(_at_least(self.num, self.den, F.greatest("n_a", "n_b")) - 1, F.lit(0))
         counted = (F.col("met") + F.least("paired_a", "paired_b") + rest) * (self.num + self.den) >= wanted
         sizes = ["n_a", "n_b", "paired_a", "paired_b"]
         pairs = met.groupBy("class_a", "class_b", *sizes).agg(F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b"), F.count_if("one").alias("met")).where(enough & counted).select("class_a", "class_b", "n_a", "n_b")
-        pairs, _ = materialize(self.spark, pairs, "neardup-candidates")
+        pairs, pairs_path = materialize(self.spark, pairs, "neardup-candidates")
         met_classes = small_side(self.spark, pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct(), "neardup-candidate-classes")
-        reclaim(self.spark)
         texts = self.items.withColumnRenamed("id", "class_id").join(met_classes, "class_id", "left_semi")
         bags = _sets(texts.withColumnRenamed("class_id", "id"), self.width, self.least_words).select(F.col("id").alias("class_id"), F.col("tokens").alias("t"))
         both = pairs.join(bags.select(F.col("class_id").alias("class_a"), F.col("t").alias("t_a")), "class_a").join(bags.select(F.col("class_id").alias("class_b"), F.col("t").alias("t_b")), "class_b")
         checked = both.withColumn("common", F.size(F.array_intersect("t_a", "t_b")))
         near = checked.where(F.col("common") * (self.num + self.den) >= (F.col("n_a") + F.col("n_b")) * self.num)
         self._links, _ = materialize(self.spark, near.select("class_a", "class_b", "common", "n_a", "n_b"), "neardup-links")
+        release(self.spark, pairs_path, *self._scratch)
+        self._scratch.clear()
         return self._links
 
+    def _index(self) -> DataFrame:
+        """Posting rows (class_id, n, paired, key, one, pos): single rare tokens and combinations of frequent ones.
+
+        Sets so small that one common token suffices have their frequent tokens indexed alone, too.
+
+        A combination's posting list above ``hot`` classes is replaced by those of all its extensions by
+        one later token of prefixes extended as far, if these together make fewer pairs; a set of near
+        copies, which every extension keeps together, stays with the shorter key. Whether a key is
+        extended depends on the key alone, so both sides of a pair meet at the same length.
+        """
+        pre, path = materialize(self.spark, self._prefixes(), "neardup-prefixes")
+        self._scratch.append(path)
+        o = _at_least(self.num, self.den, F.col("n"))
+        numbered = pre.select("class_id", "n", (F.col("n") - o).alias("free"), F.transform("pre", lambda t, i: F.struct(F.shiftright(t, TOKEN_BITS).alias("df"), t.alias("token"), i.alias("pos"))).alias("pre"))
+        single = F.transform(F.filter("pre", lambda t: ((t["df"] <= self.rare) | (o < 2)) & (t["pos"] <= F.col("free"))), lambda t: F.struct(t["token"].alias("key"), t["pos"].alias("pos"), t["pos"].alias("last"), F.lit(True).alias("one")))
+        common = F.filter("pre", lambda t: (t["df"] > self.rare) & (t["pos"] <= F.col("free") + 1))
+        split = numbered.select("class_id", "n", single.alias("single"), common.alias("common"))
+        double = F.flatten(F.transform("common", lambda x, i: F.transform(
+            F.slice(F.col("common"), i + 2, F.size("common")),
+            lambda y: F.struct(F.xxhash64(x["token"], y["token"]).alias("key"), x["pos"].alias("pos"), y["pos"].alias("last"), F.lit(False).alias("one")))))
+        posted = split.select("class_id", "n", F.size("common").alias("paired"), F.explode(F.concat("single", double)).alias("k")).select("class_id", "n", "paired", "k.*")
+        hot, path = self._hot_keys(posted.where("not one"))
+        self._scratch.append(path)
+        if hot.isEmpty():
+            return posted.drop("last")
+        level, kept = posted.where("not one"), [posted.where("one")]
+        tails = numbered.select("class_id", "free", "pre")
+        for size in range(3, MOST_TOKENS + 1):
+            chosen = small_side(self.spark, hot, "neardup-hot")
+            reach = F.filter("pre", lambda t: (t["pos"] > F.col("last")) & (t["pos"] <= F.col("free") + (size - 1)))
+            longer = level.join(chosen, "key", "left_semi").join(tails, "class_id").select("class_id", "n", "paired", F.col("key").alias("stem"), "pos", F.explode(reach).alias("t")).select(
+                "class_id", "n", "paired", "stem", F.xxhash64("stem", "t.token").alias("key"), "pos", F.col("t.pos").alias("last"), F.lit(False).alias("one"))
+            longer, path = materialize(self.spark, longer, "neardup-longer")
+            self._scratch.append(path)
+            square = F.col("held").cast("double") * F.col("held")
+            spread = longer.groupBy("stem", "key").agg(F.count("*").alias("held")).groupBy("stem").agg(F.sum(square).alias("after"))
+            gains = spread.join(hot, spread["stem"] == hot["key"]).where("after < before").select("stem")
+            gains = small_side(self.spark, gains, "neardup-extended")
+            kept.append(level.join(gains, level["key"] == gains["stem"], "left_anti"))
+            level = longer.join(gains, "stem", "left_semi").drop("stem")
+            hot, path = self._hot_keys(level)
+            self._scratch.append(path)
+            if hot.isEmpty():
+                break
+        kept.append(level)
+        out = kept[0]
+        for k in kept[1:]:
+            out = out.unionByName(k)
+        return out.drop("last")
+
+    def _hot_keys(self, level: DataFrame) -> tuple[DataFrame, str]:
+        """(key, before) of combinations with more than ``hot`` classes; before is the square of their number."""
+        held = level.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > self.hot)
+        return materialize(self.spark, held.select("key", (F.col("held").cast("double") * F.col("held")).alias("before")), "neardup-hot")
+
     def pairs(self) -> DataFrame:
         """(id_a, id_b), a < b: every pair of items, copies within a class included."""
         m = self.members

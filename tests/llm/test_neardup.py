@@ -35,10 +35,11 @@ def sample(seed, n=160):
     return [(i, t if r.random() < .95 else r.choice([None, "", t.upper() + "!"]), "clash") for i, t in enumerate(texts)] + [(None, "a b c d e f", None)]
 
 
-@pytest.mark.parametrize("rare,width,num,den,least", [(16, 3, 3, 5, 6), (1, 3, 3, 5, 6), (2, 5, 4, 5, 1), (0, 2, 1, 2, 3)])
-def test_pairs_equal_brute_force(spark, rare, width, num, den, least):
+@pytest.mark.parametrize("rare,width,num,den,least,hot,known", [(16, 3, 3, 5, 6, 256, 1000), (1, 3, 3, 5, 6, 2, 1000), (2, 5, 4, 5, 1, 256, 0), (0, 2, 1, 2, 1, 1, 0)])
+def test_pairs_equal_brute_force(spark, rare, width, num, den, least, hot, known):
+    """Also where posting lists are extended (hot) and where frequencies are joined instead of sent (known)."""
     rows = sample(rare + width)
-    near = NearDuplicates(spark, spark.createDataFrame(rows, ITEM), width, (num, den), least, rare)
+    near = NearDuplicates(spark, spark.createDataFrame(rows, ITEM), width, (num, den), least, rare, hot, known)
     got = [(r.id_a, r.id_b) for r in near.pairs().collect()]
     want = brute(rows, width, num, den, least)
     assert len(got) == len(set(got)) and set(got) == want
