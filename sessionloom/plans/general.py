@@ -102,8 +102,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
-    state = _orphans(spark, d)
-    return state.history().where(F.col("batch") == state.seq).select("table_name", "ref_field", "month", "orphans")
+    """Counts per table, field and month of first delivery at the end of the last period."""
+    history = _orphans(spark, d).history()
+    last = history.agg(F.max("period").alias("period"))
+    return history.join(F.broadcast(last), "period").select("table_name", "ref_field", "month", "orphans")
 
 
 _FIRST = "min(ingested_at) OVER (PARTITION BY {k})::DATE AS first_day"

@@ -37,7 +37,41 @@ def test_any_batching_gives_the_final_state(spark, period):
     state = orphans.track(spark, spark.createDataFrame(rows, SCHEMA), period)
     got = [(r.table_name, r.record_key, r.ref_field) for r in state.pending().collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows)
-    assert {r.batch for r in state.history().collect()} <= set(range(1, state.seq + 1))
+    day = lambda r: r[2].date()
+    for p in {h.period for h in state.history().collect()}:
+        after = p.replace(year=p.year + 1) if period == "year" else (p.replace(month=p.month + 3) if p.month < 10 else p.replace(year=p.year + 1, month=1))
+        want = brute([r for r in rows if day(r) < after])
+        assert sum(h.orphans for h in state.history().where(f"period = date'{p}'").collect()) == len(want)
+
+
+@pytest.mark.parametrize("seed,late", [(6, False), (7, True)])
+def test_batches_continue_stored_state(spark, tmp_path, seed, late):
+    """Batches, late ones among them, end where one history ends, also after a restart between them."""
+    rows = sample(seed)
+    if late:
+        random.Random(seed).shuffle(rows)
+    else:
+        rows.sort(key=lambda r: r[2])
+    cuts = [rows[:50], rows[50:90], [], rows[90:]]
+    for k, part in enumerate(cuts):
+        state = orphans.OrphanState(spark, str(tmp_path), buckets=4)
+        assert state.seq == k
+        state.advance(spark.createDataFrame(part, SCHEMA), "year")
+        seen = [r for c in cuts[:k + 1] for r in c]
+        got = [(r.table_name, r.record_key, r.ref_field) for r in state.pending().collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(seen)
+    last = state.history().where("batch = 4").collect()
+    assert sum(r.orphans for r in last if r.period == max(x.period for x in last)) == len(got)
+
+
+def test_a_batch_reads_only_touched_buckets(spark, tmp_path):
+    state = orphans.OrphanState(spark, str(tmp_path), buckets=16)
+    day = lambda d: datetime(2025, 1, d)
+    state.advance(spark.createDataFrame([("entries", f"k{i}", day(1), i, True, "e", "s", f"i{i}", [("parent_id", "e", "s", f"i{i + 1}")]) for i in range(200)], SCHEMA))
+    before = {t: dict(at) for t, at in state.at.items()}
+    state.advance(spark.createDataFrame([("entries", "k5", day(2), 999, False, "e", "s", "i5", [])], SCHEMA))
+    assert [sum(before[t][b] != p for b, p in state.at[t].items()) for t in ("records", "offers", "refs")] <= [1, 2, 2]
+    assert {r.record_key for r in state.pending().collect()} == {"k4", "k199"}
 
 
 def test_open_resolve_reopen(spark):
