@@ -1,9 +1,13 @@
 """Parent-child links to full hierarchies: path, depth, root, descendants and cycles.
 
-Links never leave their scope (a session), so a scope holds whole connected components. Scopes of up
-to ``max_group`` rows are co-located by one shuffle and walked depth-first with node colouring; the
-rows of larger scopes never meet in one task: their links are resolved by joins and squared by
-pointer doubling, which needs log2(longest path) rounds.
+Connected components are the unit of work. Links never leave their scope (a session), so scopes of up to
+``max_group`` rows hold whole components and are co-located by one shuffle; inside, a component is named
+by its root or its ring, since a node has one link at most. Larger scopes are cut into their components
+by alternating-star contraction, and each component is co-located by its number. A co-located group is
+walked depth-first with node colouring in memory linear in its rows; paths and descendants are slices
+of the walk's stack and order and leave it in bounded frames. Components above ``max_component`` rows never
+meet in one task: their links are squared by pointer doubling, and their walk is numbered by ranking the
+list of down and up steps.
 """
 
 from __future__ import annotations
@@ -17,8 +21,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, release
+from .components import components
 
 MAX_GROUP = 200_000
+MAX_COMPONENT = 1_000_000
+#: Ids of paths and descendants that leave a walk in one frame; a single longer row still is one row.
+FRAME_IDS = 500_000
+NESTED = "node long, parent long, root long, depth int, enter long, leave long, cycle long, on_cycle boolean"
 HIERARCHY = "node long, root long, depth int, cycle long, on_cycle boolean, path array<long>, descendants array<long>"
 
 
@@ -92,34 +101,94 @@ def walk(node: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return root, depth, cycle, on
 
 
-def _hierarchy_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for g in whole_groups(frames, "scope"):
-        node, parent = g["node"].to_numpy(), parents_of(g)
-        root, depth, cycle, on = walk(node, parent)
-        paths: list[list[int] | None] = [None] * len(g)
-        below: list[list[int] | None] = [[] if c < 0 else None for c in cycle]
-        for i in np.argsort(depth, kind="stable"):
-            if cycle[i] < 0:
-                paths[i] = [int(node[i])] if parent[i] < 0 else [*paths[parent[i]], int(node[i])]
-        where = {int(k): i for i, k in enumerate(node)}
-        for i, p in enumerate(paths):
-            for a in (p or [])[:-1]:
-                below[where[a]].append(int(node[i]))
-        yield pd.DataFrame({
-            "node": node,
-            "root": pd.array([None if r < 0 else int(node[r]) for r in root], dtype="Int64"),
-            "depth": pd.array([None if c >= 0 else int(d) for c, d in zip(cycle, depth)], dtype="Int32"),
-            "cycle": pd.array([None if c < 0 else int(c) for c in cycle], dtype="Int64"),
-            "on_cycle": on, "path": paths, "descendants": [None if b is None else sorted(b) for b in below],
-        })
-
-
-def _cycle_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for g in whole_groups(frames, "scope"):
-        node = g["node"].to_numpy()
-        _, _, cycle, _ = walk(node, parents_of(g))
-        bad = cycle >= 0
-        yield pd.DataFrame({"node": node[bad], "cycle": cycle[bad]})
+def preorder(node: np.ndarray, parent: np.ndarray, cycle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Iterative depth-first walk down from the roots: (row positions in walk order, rows below each).
+
+    Trees come one after the other; roots and siblings are met by rising node. Rows on or before a cycle are
+    never reached and left out.
+    """
+    by_parent = np.lexsort((node, parent))
+    below = np.searchsorted(parent[by_parent], np.arange(-1, len(node) + 1))  # children of p lie from below[p + 1] to below[p + 2]
+    children, order, size = by_parent.tolist(), [], [0] * len(node)
+    first, up = below.tolist(), parent.tolist()
+    open_rows = [i for i in children[first[0]:first[1]] if cycle[i] < 0][::-1]
+    while open_rows:
+        at = open_rows.pop()
+        order.append(at)
+        open_rows.extend(reversed(children[first[at + 1]:first[at + 2]]))
+    for at in reversed(order):
+        if up[at] >= 0:
+            size[up[at]] += size[at] + 1
+    return np.array(order, np.int64), np.array(size, np.int64)
+
+
+def _optional(values: np.ndarray, missing: np.ndarray, kind: str = "Int64"):
+    return pd.arrays.IntegerArray(np.where(missing, 0, values).astype(kind.lower()), missing.copy())
+
+
+def _nested(node: np.ndarray, parent: np.ndarray) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """The linear form of one co-located group, its walk order and the rows below each row."""
+    root, depth, cycle, on = walk(node, parent)
+    order, size = preorder(node, parent, cycle)
+    at = np.zeros(len(node), np.int64)
+    at[order] = np.arange(len(order))
+    bad = cycle >= 0
+    enter = at - at[np.where(bad, 0, root)]
+    return pd.DataFrame({
+        "node": node, "parent": _optional(node[np.maximum(parent, 0)], parent < 0), "root": _optional(node[np.maximum(root, 0)], bad),
+        "depth": _optional(depth, bad, "Int32"), "enter": _optional(enter, bad), "leave": _optional(enter + size, bad), "cycle": _optional(cycle, ~bad), "on_cycle": on,
+    }), order, size
+
+
+def _spread(node: np.ndarray, parent: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Full rows of one co-located group, ``FRAME_IDS`` ids of arrays at a time."""
+    flat, order, size = _nested(node, parent)
+    base = flat[["node", "root", "depth", "cycle", "on_cycle"]]
+    walked, depth = node[order], flat["depth"].to_numpy(np.int64, na_value=0)
+    trail = np.zeros(int(depth.max(initial=0)) + 1, np.int64)
+    held, paths, below, ids = [], [], [], 0
+    for k, at in enumerate(order.tolist()):
+        trail[depth[at]] = node[at]
+        held.append(at)
+        paths.append(trail[: depth[at] + 1].copy())
+        below.append(np.sort(walked[k + 1:k + 1 + size[at]]))
+        ids += len(paths[-1]) + len(below[-1])
+        if ids >= FRAME_IDS:
+            yield base.iloc[held].assign(path=paths, descendants=below)
+            held, paths, below, ids = [], [], [], 0
+    if held:
+        yield base.iloc[held].assign(path=paths, descendants=below)
+    ring = base[flat["cycle"].notna().to_numpy()]
+    if len(ring):
+        yield ring.assign(path=None, descendants=None)
+
+
+def _by_scope(each):
+    """Frames function over whole scopes: links are resolved inside, then ``each(node, parent)`` gives the rows."""
+    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in whole_groups(batches, "scope"):
+            yield from each(g["node"].to_numpy(), parents_of(g))
+    return frames
+
+
+def _by_component(each):
+    """The same over whole components of (component, node, parent) rows with resolved parents."""
+    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in whole_groups(batches, "component"):
+            node, up = g["node"].to_numpy(), g["parent"]
+            order = np.argsort(node)
+            at = np.minimum(np.searchsorted(node[order], up.fillna(0).to_numpy(np.int64)), len(node) - 1)
+            yield from each(node, np.where(up.isna().to_numpy(), -1, order[at]))
+    return frames
+
+
+def _linear(node: np.ndarray, parent: np.ndarray) -> Iterator[pd.DataFrame]:
+    yield _nested(node, parent)[0]
+
+
+def _rings(node: np.ndarray, parent: np.ndarray) -> Iterator[pd.DataFrame]:
+    _, _, cycle, _ = walk(node, parent)
+    yield pd.DataFrame({"node": node[cycle >= 0], "cycle": cycle[cycle >= 0]})
 
 
 def split_by_size(nodes: DataFrame, key: str, max_group: int, sized_by: DataFrame | None = None, most: int = 10_000) -> tuple[DataFrame, DataFrame | None]:
@@ -208,40 +277,106 @@ def trace(spark: SparkSession, edges: DataFrame, starts: DataFrame, max_rounds:
     return reach
 
 
+def list_rank(spark: SparkSession, cells: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(node, up, rest): the number of down steps from each cell of linked lists to its list's end, by doubling.
+
+    ``cells``: node, up, next_node, next_up; a cell without successor ends its list.
+    """
+    state, path = materialize(spark, cells.select("node", "up", "next_node", "next_up", F.when(F.col("up"), 0).otherwise(1).cast("long").alias("rest")), "ranks")
+    for _ in range(max_rounds):
+        if state.where("next_node is not null").isEmpty():
+            break
+        far = state.select(F.col("node").alias("next_node"), F.col("up").alias("next_up"), F.col("next_node").alias("n"), F.col("next_up").alias("u"), F.col("rest").alias("more"))
+        moved = state.where("next_node is not null").join(far, ["next_node", "next_up"]).select("node", "up", F.col("n").alias("next_node"), F.col("u").alias("next_up"), (F.col("rest") + F.col("more")).alias("rest"))
+        nxt, nxt_path = materialize(spark, state.where("next_node is null").unionByName(moved), "ranks")
+        release(spark, path)
+        state, path = nxt, nxt_path
+    return state.select("node", "up", "rest")
+
+
+def number_walk(spark: SparkSession, placed: DataFrame) -> DataFrame:
+    """(node, enter, leave) of trees whose rows need not fit a task; ``placed``: node, parent, root of every row.
+
+    The depth-first walk is the list of a step down into each node and a step up out of it, linked by first
+    child, next sibling and parent; its ranks give the numbers.
+    """
+    w = W.partitionBy("parent").orderBy("node")
+    sib = placed.where("parent is not null").select("node", "parent", F.lead("node").over(w).alias("sibling"), F.row_number().over(w).alias("nth"))
+    first = sib.where("nth = 1").select(F.col("parent").alias("node"), F.col("node").alias("child"))
+    links = placed.select("node", "parent").join(first, "node", "left").join(sib.select("node", "sibling"), "node", "left")
+    down = links.select("node", F.lit(False).alias("up"), F.coalesce("child", "node").alias("next_node"), F.col("child").isNull().alias("next_up"))
+    back = links.select("node", F.lit(True).alias("up"), F.coalesce("sibling", "parent").alias("next_node"), F.col("sibling").isNull().alias("next_up"))
+    ranks = list_rank(spark, down.unionByName(back))
+    both = ranks.groupBy("node").agg(F.max(F.when(~F.col("up"), F.col("rest"))).alias("down"), F.max(F.when(F.col("up"), F.col("rest"))).alias("back")).join(placed.select("node", "root"), "node")
+    top = both.where("node = root").select("root", F.col("down").alias("total"))
+    enter = F.col("total") - F.col("down")
+    return both.join(top, "root").select("node", enter.alias("enter"), (enter + F.col("down") - F.col("back") - 1).alias("leave"))
+
+
 def as_nodes(df: DataFrame, scope: str, node: str, node_id: str, link_id: str) -> DataFrame:
     return df.select(F.col(scope).cast("string").alias("scope"), F.col(node).cast("long").alias("node"), F.col(node_id).alias("node_id"), F.col(link_id).alias("link_id")).where(F.col("node").isNotNull())
 
 
-def _colocated(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("scope", F.coalesce("scope", F.lit(""))).repartition("scope").sortWithinPartitions("scope", "node")
+def _own_scopes(nodes: DataFrame) -> DataFrame:
+    """Rows without scope are linked to nothing: each becomes a scope of its own, which spreads them, too."""
+    known = F.col("scope").isNotNull()
+    return nodes.select(F.coalesce("scope", F.concat(F.lit("\0"), F.col("node").cast("string"))).alias("scope"), "node", F.when(known, F.col("node_id")).alias("node_id"), F.when(known, F.col("link_id")).alias("link_id"))
+
+
+def _grouped(spark: SparkSession, nodes: DataFrame, each, schema: str, max_group: int, max_component: int, sized_by: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ``each`` over all co-located groups, and the (node, parent) rows of components too large for one."""
+    small, large = split_by_size(_own_scopes(nodes), "scope", max_group, sized_by)
+    found = small.repartition("scope").sortWithinPartitions("scope", "node").mapInPandas(_by_scope(each), schema)
+    if large is None:
+        return found, None
+    edges, _ = materialize(spark, resolve_links(large).select("node", "parent"), "forest-edges")
+    named = components(spark, edges.select(F.col("node").alias("a"), F.coalesce("parent", "node").alias("b")))
+    placed, _ = materialize(spark, edges.join(named, "node").select("component", "node", "parent"), "forest-components")
+    fit, far = split_by_size(placed, "component", max_component)
+    return found.unionByName(fit.repartition("component").sortWithinPartitions("component", "node").mapInPandas(_by_component(each), schema)), None if far is None else far.select("node", "parent")
 
 
-def hierarchy(spark: SparkSession, nodes: DataFrame, max_group: int = MAX_GROUP, sized_by: DataFrame | None = None) -> DataFrame:
+def hierarchy(spark: SparkSession, nodes: DataFrame, max_group: int = MAX_GROUP, sized_by: DataFrame | None = None, max_component: int = MAX_COMPONENT) -> DataFrame:
     """Full hierarchy of (scope, node, node_id, link_id) rows: one row per node.
 
     Columns: node, root, depth, cycle, on_cycle, path (root to node) and descendants (sorted). Null or
     dangling links make a node a root; nodes that never reach a root have cycle set and root, depth,
-    path and descendants null. Null scopes form one scope; of equal ids in one scope the smallest node
-    is the link target; an empty table gives an empty result; other columns are ignored.
+    path and descendants null. A row with a null scope links to nothing and is linked by nothing; of
+    equal ids in one scope the smallest node is the link target; an empty table gives an empty result;
+    other columns are ignored. The arrays of one deep tree grow with the square of its depth by
+    definition; ``nested`` says the same in linear size.
     """
-    small, large = split_by_size(nodes.withColumn("scope", F.coalesce("scope", F.lit(""))), "scope", max_group, sized_by)
-    walked = _colocated(small).mapInPandas(_hierarchy_frames, HIERARCHY)
-    if large is None:
+    walked, far = _grouped(spark, nodes, _spread, HIERARCHY, max_group, max_component, sized_by)
+    if far is None:
         return walked
-    far = pointer_doubling(spark, resolve_links(large).select("node", "parent"), with_paths=True)
+    far = pointer_doubling(spark, far, with_paths=True)
     below = far.where("path is not null").select(F.explode("path").alias("above"), "node").where("above <> node").groupBy(F.col("above").alias("node")).agg(F.sort_array(F.collect_list("node")).alias("descendants"))
     far = far.join(below, "node", "left").withColumn("descendants", F.when(F.col("cycle").isNull(), F.coalesce("descendants", F.array().cast("array<long>"))))
     return walked.unionByName(far.select(*walked.columns))
 
 
-def cycles(spark: SparkSession, nodes: DataFrame, max_group: int = MAX_GROUP, sized_by: DataFrame | None = None) -> DataFrame:
+def nested(spark: SparkSession, nodes: DataFrame, max_group: int = MAX_GROUP, sized_by: DataFrame | None = None, max_component: int = MAX_COMPONENT) -> DataFrame:
+    """The hierarchy in linear size: node, parent, root, depth, enter, leave, cycle, on_cycle.
+
+    enter numbers the depth-first walk of each tree from 0, siblings by rising node; the descendants of x are
+    the nodes of its root with enter in (x.enter, x.leave], its ancestors those whose range holds x.enter.
+    Nodes on or before a cycle have cycle set and root, depth, enter and leave null. Nulls, ties, empty tables
+    and other columns as in ``hierarchy``.
+    """
+    walked, far = _grouped(spark, nodes, _linear, NESTED, max_group, max_component, sized_by)
+    if far is None:
+        return walked
+    placed, _ = materialize(spark, pointer_doubling(spark, far).drop("path").join(far, "node"), "forest-placed")
+    numbered = number_walk(spark, placed.where("cycle is null").select("node", "parent", "root"))
+    return walked.unionByName(placed.join(numbered, "node", "left").select(*walked.columns))
+
+
+def cycles(spark: SparkSession, nodes: DataFrame, max_group: int = MAX_GROUP, sized_by: DataFrame | None = None, max_component: int = MAX_COMPONENT) -> DataFrame:
     """(node, cycle): nodes whose links never end, with the smallest node on the cycle they reach.
 
     The same walk as ``hierarchy`` without building paths; null and duplicate handling is identical.
     """
-    small, large = split_by_size(nodes.withColumn("scope", F.coalesce("scope", F.lit(""))), "scope", max_group, sized_by)
-    found = _colocated(small).mapInPandas(_cycle_frames, "node long, cycle long")
-    if large is None:
+    found, far = _grouped(spark, nodes, _rings, "node long, cycle long", max_group, max_component, sized_by)
+    if far is None:
         return found
-    far = pointer_doubling(spark, resolve_links(large).select("node", "parent"))
-    return found.unionByName(far.where("cycle is not null").select("node", "cycle"))
+    return found.unionByName(pointer_doubling(spark, far).where("cycle is not null").select("node", "cycle"))

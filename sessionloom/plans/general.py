@@ -26,7 +26,7 @@ live AS (SELECT *, {norm_sql('entry_id')} AS node_id,
 def _nodes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     entries = spark.read.parquet(f"{d}/entries.parquet")
     nodes = linked_entries(entries).select(F.col("session_key").alias("scope"), F.col("entry_key").alias("node"), "node_id", "link_id")
-    return nodes, entries.select(F.coalesce("session_key", F.lit("")).alias("scope"))
+    return nodes, entries.where("session_key is not null").select(F.col("session_key").alias("scope"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -67,8 +67,27 @@ SELECT e.entry_key, d.root_key, CAST(d.depth AS INTEGER) AS depth, f.cycle_key,
   CASE WHEN d.entry_key IS NULL THEN NULL ELSE coalesce(s.n, 0) END AS n_descendants
 FROM e LEFT JOIN down d USING (entry_key) LEFT JOIN descs s ON s.a = e.entry_key LEFT JOIN found f ON f.entry_key = e.entry_key"""
 
-QUERIES = {"p5_found": p5_found, "p5_hierarchy": p5_hierarchy}
-ORACLE = {"p5_found": P5_FOUND_SQL, "p5_hierarchy": P5_HIERARCHY_SQL}
+def p5_nested(spark: SparkSession, d: str) -> DataFrame:
+    """The hierarchy in linear size: depth-first numbers in place of paths and descendants."""
+    nodes, sizes = _nodes(spark, d)
+    return forest.nested(spark, nodes, sized_by=sizes).select(
+        F.col("node").alias("entry_key"), F.col("parent").alias("parent_key"), F.col("root").alias("root_key"), "depth", "enter", "leave", F.col("cycle").alias("cycle_key"), "on_cycle")
+
+
+P5_NESTED_SQL = f"""WITH RECURSIVE {_EDGES_SQL},
+down AS (SELECT entry_key, entry_key AS root_key, 0 AS depth, [entry_key] AS path FROM e WHERE parent IS NULL
+  UNION ALL SELECT e.entry_key, d.root_key, d.depth + 1, list_append(d.path, e.entry_key) FROM e JOIN down d ON e.parent = d.entry_key),
+sizes AS (SELECT a, count(*) - 1 AS n FROM (SELECT unnest(path) AS a FROM down) GROUP BY a),
+walk AS (SELECT *, row_number() OVER (PARTITION BY root_key ORDER BY path) - 1 AS enter FROM down),
+found AS (SELECT * FROM ({P5_FOUND_SQL.replace('WITH RECURSIVE ' + _EDGES_SQL + ',', 'WITH RECURSIVE')}))
+SELECT e.entry_key, e.parent AS parent_key, w.root_key, CAST(w.depth AS INTEGER) AS depth, w.enter, w.enter + s.n AS leave, f.cycle_key,
+  f.entry_key IS NOT NULL AND e.entry_key IN (SELECT b.hit FROM (SELECT entry_key, hit FROM (
+    WITH RECURSIVE r AS (SELECT x.entry_key, x.parent AS hit FROM e x JOIN found y ON y.entry_key = x.entry_key UNION SELECT r.entry_key, x.parent FROM r JOIN e x ON x.entry_key = r.hit)
+    SELECT entry_key, hit FROM r)) b WHERE b.entry_key = b.hit) AS on_cycle
+FROM e LEFT JOIN walk w USING (entry_key) LEFT JOIN sizes s ON s.a = e.entry_key LEFT JOIN found f ON f.entry_key = e.entry_key"""
+
+QUERIES = {"p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_nested": p5_nested}
+ORACLE = {"p5_found": P5_FOUND_SQL, "p5_hierarchy": P5_HIERARCHY_SQL, "p5_nested": P5_NESTED_SQL}
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:

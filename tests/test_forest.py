@@ -12,8 +12,8 @@ def brute(rows):
     ids = {}
     for s, n, i, _ in sorted(rows, key=lambda r: r[1]):
         if i is not None:
-            ids.setdefault((s or "", i), n)
-    up = {n: ids.get((s or "", link)) if link is not None else None for s, n, _, link in rows}
+            ids.setdefault((s, i), n)
+    up = {n: ids.get((s, link)) if link is not None and s is not None else None for s, n, _, link in rows}
     out = {}
     for n in up:
         trail = [n]
@@ -37,19 +37,32 @@ def forest_rows(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("max_group", [200_000, 3])
-def test_hierarchy_equals_brute_force(spark, max_group):
+@pytest.mark.parametrize("max_group,max_component", [(200_000, 1), (3, 1000), (3, 4)])
+def test_hierarchy_equals_brute_force(spark, max_group, max_component):
     rows = forest_rows(3)
     df = spark.createDataFrame(rows, SCHEMA).withColumn("root", F.lit("clash"))
-    got = {r.node: (r.root, r.depth, r.cycle, r.on_cycle, r.path, r.descendants) for r in forest.hierarchy(spark, df.drop("root"), max_group).collect()}
+    got = {r.node: (r.root, r.depth, r.cycle, r.on_cycle, r.path, r.descendants) for r in forest.hierarchy(spark, df.drop("root"), max_group, max_component=max_component).collect()}
     assert got == brute(rows)
-    bad = {r.node: r.cycle for r in forest.cycles(spark, df, max_group).collect()}
-    assert bad == {n: v[2] for n, v in brute(rows).items() if v[2] is not None}
+    bad = {r.node: r.cycle for r in forest.cycles(spark, df, max_group, max_component=max_component).collect()}
+    want = brute(rows)
+    assert bad == {n: v[2] for n, v in want.items() if v[2] is not None}
+    flat = {r.node: r for r in forest.nested(spark, df, max_group, max_component=max_component).collect()}
+    assert flat.keys() == want.keys()
+    trees = {}
+    for n, r in flat.items():
+        assert (r.root, r.depth, r.cycle, r.on_cycle) == want[n][:4]
+        if r.cycle is None:
+            trees.setdefault(r.root, []).append(r)
+            assert r.parent == (want[n][4][-2] if r.depth else None)
+    for members in trees.values():
+        assert [r.enter for r in sorted(members, key=lambda r: want[r.node][4])] == list(range(len(members)))
+        for r in members:
+            assert sorted(m.node for m in members if r.enter < m.enter <= r.leave) == want[r.node][5]
 
 
 def test_long_chain_and_ring_by_doubling(spark):
     rows = [("s", k, f"n{k}", f"n{k - 1}" if k else None) for k in range(300)] + [("s", 1000 + k, f"r{k}", f"r{(k + 1) % 77}") for k in range(77)]
-    got = {r.node: r for r in forest.hierarchy(spark, spark.createDataFrame(rows, SCHEMA), 10).collect()}
+    got = {r.node: r for r in forest.hierarchy(spark, spark.createDataFrame(rows, SCHEMA), 10, max_component=10).collect()}
     assert got[299].depth == 299 and got[299].root == 0 and got[299].path == list(range(300))
     assert got[0].descendants == list(range(1, 300))
     assert {got[1000 + k].cycle for k in range(77)} == {1000} and all(got[1000 + k].on_cycle for k in range(77))
@@ -58,7 +71,24 @@ def test_long_chain_and_ring_by_doubling(spark):
 def test_empty_and_null_rows(spark):
     assert forest.hierarchy(spark, spark.createDataFrame([], SCHEMA)).collect() == []
     got = forest.hierarchy(spark, spark.createDataFrame([(None, 1, None, None), (None, 2, "", "")], SCHEMA)).collect()
-    assert {r.node: (r.root, r.cycle) for r in got} == {1: (1, None), 2: (None, 2)}
+    assert {r.node: (r.root, r.cycle) for r in got} == {1: (1, None), 2: (2, None)}
+
+
+def test_long_chains_stay_linear_in_memory():
+    """A chain as long as the longest real session, and the largest co-located one, within stated memory."""
+    import tracemalloc
+
+    import numpy as np
+
+    for n, full, most_mb in ((20_004, True, 40), (200_000, False, 150)):
+        node, parent = np.arange(n), np.arange(-1, n - 1)
+        tracemalloc.start()
+        ids = 0
+        for f in forest._spread(node, parent) if full else forest._linear(node, parent):
+            ids += sum(map(len, f["path"])) + sum(map(len, f["descendants"])) if full else len(f)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert ids == (n * n if full else n) and peak < most_mb
 
 
 def test_groups_are_never_cut():
