@@ -2,10 +2,13 @@
 
 Lines become token sequences in which numbers, identifiers, paths and CJK runs are one class each.
 Every trigram is counted once over the corpus, inside lines and at line ends, within its kind of line;
-bigram, word and shape counts are rolled up from that table. The final trigram of each text is joined
-to the counts, and the most specific n-gram with support decides: frequent inside but almost never
-final means cut. A last word that almost never stands alone but begins words that often follow the
-token before it is cut inside; so is a text that leaves a code fence open or ends in a broken character.
+bigram, word and shape counts are rolled up from that table. The final trigram of each text is joined to
+the counts in two ways. As it stands: frequent inside but almost never final means that the text stops
+inside a sentence. As the beginning of longer trigrams: its last token hardly ever stands between these
+neighbours, but often begins what does, so the text stops inside a word; the counts of all longer trigrams
+are one difference of running sums over the sorted tokens of a context. Where trigrams lack support,
+bigrams, words and word shapes decide in the same two ways. A text that leaves a code fence open or ends
+in a broken character is cut, too.
 """
 
 from __future__ import annotations
@@ -37,38 +40,69 @@ _NORM = r"""CASE WHEN t RLIKE r'^\p{Ll}+$' THEN t
   WHEN t RLIKE r'^\p{Lu}[\p{Lu}\p{N}]+$' THEN '<code>'
   ELSE lower(t) END"""
 _SHAPE = r"""CASE WHEN n LIKE '<_%' OR n = '0' OR NOT n RLIKE r'^\p{L}' THEN n WHEN t RLIKE r'^\p{Lu}' THEN '<W>' ELSE '<w>' END"""
+# The spelling that can be cut inside: not of CJK runs, and not with a digit at its end, which might begin another number.
+_STEM = r"""CASE WHEN t RLIKE r'\p{L}$' AND n <> '<cjk>' THEN lower(t) END"""
+
+
+def _over(expression: str, t: str, n: str) -> str:
+    """An expression over t and n, with other names for the two."""
+    return expression.replace(" n ", f" {n} ").replace("WHEN n", f"WHEN {n}").replace("THEN n", f"THEN {n}").replace("WHEN t", f"WHEN {t}").replace("lower(t)", f"lower({t})")
+
 
 _LINES = f"""
 WITH split AS (
   SELECT doc_id, source, counted, filter(split(text, r'{_BREAK}'), l -> l RLIKE r'[^{WS_CLASS}]') AS ls FROM {{docs}}),
 line AS (
-  SELECT doc_id, source, counted, size(ls) AS n, size(filter(ls, l -> trim(l) LIKE '```%')) % 2 = 1 AS open_fence, p + 1 AS at, regexp_extract_all(l, r'{_TOKEN}', 0) AS raw
-  FROM split LATERAL VIEW posexplode(ls) x AS p, l),
+  SELECT doc_id, source, counted, @fence AS open_fence, regexp_extract_all(l, r'{_TOKEN}', 0) AS raw FROM split LATERAL VIEW explode(@lines) x AS l),
 bare AS (
-  SELECT doc_id, source, counted, at = n AS last_line, open_fence,
+  SELECT doc_id, source, counted, open_fence,
     CASE WHEN size(raw) > 1 AND try_element_at(raw, -1) IN ('…', '...') THEN slice(raw, 1, size(raw) - 1) ELSE raw END AS ts FROM line),
 normed AS (SELECT *, transform(ts, t -> {_NORM}) AS ns FROM bare WHERE size(ts) > 0),
-shaped AS (SELECT *, transform(arrays_zip(ts, ns), z -> {_SHAPE.replace(' n ', ' z.ns ').replace('WHEN n', 'WHEN z.ns').replace('WHEN t', 'WHEN z.ts').replace('THEN n', 'THEN z.ns')}) AS ss FROM normed)
-SELECT doc_id, source, counted, last_line, open_fence, ts, ns, ss,
+shaped AS (SELECT *, transform(arrays_zip(ts, ns), z -> {_over(_SHAPE, 'z.ts', 'z.ns')}) AS ss FROM normed)
+SELECT doc_id, source, counted, open_fence, ts, ns, ss,
   CASE WHEN ss[0] = '<w>' THEN ns[0] WHEN ss[0] = '<path>' AND get(ns, 1) = ':' THEN '<path>:' ELSE ss[0] END AS kind FROM shaped
 """
-
-_GRAMS = """
-SELECT kind, t2, t1, t, shape, count_if(NOT final) AS inside, count_if(final) AS ends FROM (
-  SELECT kind, coalesce(get(ns, i - 2), '^') AS t2, coalesce(get(ns, i - 1), '^') AS t1, ns[i] AS t, ss[i] AS shape, i = size(ns) - 1 AS final
-  FROM (SELECT *, explode(sequence(0, size(ns) - 1)) AS i FROM {lines} WHERE counted))
+# Every line of every text for the counts; the last line alone for the finals.
+_EVERY = _LINES.replace("@fence", "false").replace("@lines", "ls")
+_LAST = _LINES.replace("@fence", "size(filter(ls, l -> trim(l) LIKE '```%')) % 2 = 1").replace("@lines", "slice(ls, -1, 1)")
+
+_GRAMS = f"""
+SELECT kind, t2, t1, t, shape, stem, count_if(NOT final) AS inside, count_if(final) AS ends FROM (
+  SELECT kind, coalesce(get(ns, i - 2), '^') AS t2, coalesce(get(ns, i - 1), '^') AS t1, ns[i] AS t, ss[i] AS shape,
+    {_over(_STEM, 'ts[i]', 'ns[i]')} AS stem, i = size(ns) - 1 AS final
+  FROM (SELECT *, explode(sequence(0, size(ns) - 1)) AS i FROM {{lines}}))
 GROUP BY ALL
 """
 
-_FINALS = r"""
-SELECT doc_id, source, counted, open_fence, kind, coalesce(get(ns, size(ns) - 3), '^') AS t2, coalesce(get(ns, size(ns) - 2), '^') AS t1,
-  try_element_at(ns, -1) AS t, try_element_at(ss, -1) AS shape, try_element_at(ts, -1) = '�' AS broken FROM {lines} WHERE last_line
+_FINALS = f"""
+SELECT doc_id, source, counted, open_fence, kind, coalesce(get(ns, size(ns) - 3), '^') AS t2, coalesce(get(ns, size(ns) - 2), '^') AS t1, t, shape,
+  {_over(_STEM, 'last', 't')} AS stem, last = '\\ufffd' AS broken
+FROM (SELECT *, try_element_at(ns, -1) AS t, try_element_at(ss, -1) AS shape, try_element_at(ts, -1) AS last FROM {{lines}})
 """
 
-# Levels of back-off, the most specific first: the columns that identify an n-gram.
-_LEVELS = [("kind", "t2", "t1", "t"), ("t2", "t1", "t"), ("kind", "t1", "t"), ("t1", "t"), ("kind", "t"), ("kind", "shape"), ("shape",)]
-#: Levels that come before the test for a word cut inside.
-_SPECIFIC = 4
+# Levels of back-off, the most specific first: the columns that identify an n-gram, and the name of its rule.
+_LEVELS = [
+    (("kind", "t2", "t1", "t"), "trigram"), (("t2", "t1", "t"), "trigram"), (("kind", "t1", "t"), "bigram"), (("t1", "t"), "bigram"),
+    (("kind", "t"), "word"), (("kind", "shape"), "shape"), (("shape",), "shape"),
+]
+# Contexts in which a last token is compared with the tokens that it begins.
+_CONTEXTS = [(("t2", "t1"), "trigram"), (("t1",), "bigram"), ((), "word")]
+
+# Counts of the tokens that continue a stem (mass) and of the stem itself (own) in one context @c. Sorted by spelling, the
+# continuations of a stem lie together behind it, so each count is the difference of two running sums.
+_STEMS = """
+WITH tok AS (SELECT @c stem, sum(inside) AS inside, sum(ends) AS ends FROM {grams} WHERE stem IS NOT NULL GROUP BY @c stem),
+want AS (SELECT DISTINCT @c stem FROM {finals} WHERE stem IS NOT NULL),
+probe AS (SELECT *, explode(array(named_struct('at', stem, 'place', 0), named_struct('at', stem, 'place', 2), named_struct('at', concat(stem, chr_last()), 'place', 3))) AS p FROM want),
+mixed AS (
+  SELECT @c stem AS at, inside, ends, 1 AS place, CAST(NULL AS STRING) AS stem FROM tok
+  UNION ALL SELECT @c p.at, 0L, 0L, p.place, stem FROM probe),
+summed AS (SELECT *, sum(inside) OVER w AS upto, sum(inside + ends) OVER w AS all_upto FROM mixed
+  WINDOW w AS (PARTITION BY @c substring(at, 1, 1) ORDER BY at, place ROWS UNBOUNDED PRECEDING))
+SELECT @c stem, max(CASE WHEN place = 3 THEN upto END) - max(CASE WHEN place = 2 THEN upto END) AS mass,
+  max(CASE WHEN place = 2 THEN all_upto END) - max(CASE WHEN place = 0 THEN all_upto END) AS own
+FROM summed WHERE place <> 1 GROUP BY @c stem
+""".replace("chr_last()", "decode(unhex('F48FBFBF'), 'UTF-8')")  # the last code point sorts behind every continuation
 
 
 def _sql(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
@@ -85,65 +119,60 @@ def _sql(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
 
 
 def _judged() -> str:
+    """Finals with the counts of every level (i, e) and of every context (m, o); the text's own n-gram is no evidence about itself."""
     joins, cols = [], []
-    for k, keys in enumerate(_LEVELS):
+    for k, (keys, _) in enumerate(_LEVELS):
         on = " AND ".join(f"f.{c} = g{k}.{c}" for c in keys)
         joins.append(f"LEFT JOIN (SELECT {', '.join(keys)}, sum(inside) AS inside, sum(ends) AS ends FROM {{grams}} GROUP BY {', '.join(keys)}) g{k} ON {on}")
-        # the text's own final n-gram is no evidence about itself
         cols.append(f"coalesce(g{k}.inside, 0) AS i{k}, greatest(coalesce(g{k}.ends, 0) - f.counted::int, 0) AS e{k}")
+    for k, (keys, _) in enumerate(_CONTEXTS):
+        on = " AND ".join(f"f.{c} = c{k}.{c}" for c in (*keys, "stem"))
+        joins.append(f"LEFT JOIN ({_STEMS.replace('@c', ''.join(f'{c}, ' for c in keys))}) c{k} ON {on}")
+        cols.append(f"coalesce(c{k}.mass, 0) AS m{k}, greatest(coalesce(c{k}.own, 0) - f.counted::int, 0) AS o{k}")
     return f"SELECT f.*, {', '.join(cols)} FROM {{finals}} f " + " ".join(joins)
 
 
 def _decision() -> str:
+    """The deciding rule and what it says, as 'rule:verdict'."""
     def level(k: int) -> str:
-        total = f"(i{k} + e{k})"
-        return f"WHEN {total} >= {CLEARING} AND e{k} >= 0.5 * {total} THEN 'whole' WHEN {total} >= {SUPPORT} THEN CASE WHEN e{k} <= {RATE} * {total} THEN 'sentence' ELSE 'whole' END"
+        total, rule = f"(i{k} + e{k})", _LEVELS[k][1]
+        return (f"WHEN {total} >= {CLEARING} AND e{k} >= 0.5 * {total} THEN '{rule}:whole' "
+                f"WHEN {total} >= {SUPPORT} THEN CASE WHEN e{k} <= {RATE} * {total} THEN '{rule}:sentence' ELSE '{rule}:whole' END")
 
-    before = " ".join(level(k) for k in range(_SPECIFIC))
-    after = " ".join(level(k) for k in range(_SPECIFIC, len(_LEVELS)))
-    return f"CASE WHEN broken THEN 'character' WHEN open_fence THEN 'fence' {before} WHEN word_cut THEN 'word' {after} ELSE 'whole' END"
+    def begun(k: int) -> str:
+        rare = lambda j: f"m{j} >= {SUPPORT} AND o{j} <= greatest(1, {RATE} * m{j})"
+        test = rare(k)
+        if k < len(_CONTEXTS) - 1:  # identifiers and paths are built freely: a neighbourhood alone does not tell a whole one from a part
+            last = len(_CONTEXTS) - 1
+            test += f" AND (shape IN ('<w>', '<W>') OR {rare(last)})"
+        else:
+            test += f" AND i3 + e3 < {CLEARING}"
+        return f"WHEN {test} THEN '{_CONTEXTS[k][1]}:word'"
 
-
-_PREFIXES = """
-WITH wanted AS (SELECT DISTINCT t1, t FROM {finals} WHERE shape IN ('<w>', '<W>')),
-pair AS (SELECT t1, t, sum(inside) AS inside FROM {grams} WHERE shape IN ('<w>', '<W>') AND length(t) <= 40 GROUP BY t1, t),
-longer AS (SELECT t1, substring(t, 1, k) AS t, sum(inside) AS mass FROM (SELECT *, explode(sequence(1, length(t) - 1)) AS k FROM pair WHERE length(t) > 1) GROUP BY t1, substring(t, 1, k))
-SELECT w.t1, w.t, l.mass FROM wanted w JOIN longer l ON w.t1 = l.t1 AND w.t = l.t
-"""
-
-_ANY_PREFIX = """
-WITH wanted AS (SELECT DISTINCT t FROM {finals} WHERE shape IN ('<w>', '<W>')),
-one AS (SELECT t, sum(inside) AS inside FROM {grams} WHERE shape IN ('<w>', '<W>') AND length(t) <= 40 GROUP BY t),
-longer AS (SELECT substring(t, 1, k) AS t, sum(inside) AS mass FROM (SELECT *, explode(sequence(1, length(t) - 1)) AS k FROM one WHERE length(t) > 1) GROUP BY substring(t, 1, k))
-SELECT w.t, l.mass, coalesce(o.inside, 0) AS own FROM wanted w JOIN longer l ON w.t = l.t LEFT JOIN one o ON w.t = o.t
-"""
+    fixed = "WHEN broken THEN 'character:character' WHEN open_fence THEN 'fence:fence'"
+    return f"CASE {begun(0)} {fixed} {level(0)} {level(1)} {begun(1)} {level(2)} {level(3)} {begun(2)} {level(4)} {level(5)} {level(6)} ELSE 'none:whole' END"
 
 
 def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, source, verdict) of every document with a visible character.
+    """(doc_id, source, verdict, rule) of every document with a visible character.
 
     verdict: whole, or what the text stops in (character, fence, word, sentence; table rows and JSON
-    values count as sentences of their kind of line). ``docs`` needs doc_id, text and source; other
-    columns are ignored. Null, empty and blank texts are whole and left out. Equal texts count once in
-    the statistics, so copies of a cut text are no evidence for its ending, but each is judged.
+    values count as sentences of their kind of line); rule: the n-gram order, or the test, that decided.
+    ``docs`` needs doc_id, text and source; other columns are ignored. Null, empty and blank texts are
+    whole and left out. Equal texts count once in the statistics, so copies of a cut text are no evidence
+    for its ending, but each is judged. Words of any length take part.
     """
     rows = docs.selectExpr("doc_id", "text", "source").where(f"text RLIKE r'[^{WS_CLASS}]'")
     once = _sql(spark, "SELECT min(doc_id) AS doc_id, true AS counted FROM {docs} GROUP BY xxhash64(text), length(text)", docs=rows)
     marked = _sql(spark, "SELECT d.*, coalesce(o.counted, false) AS counted FROM {docs} d LEFT JOIN {once} o ON d.doc_id = o.doc_id", docs=rows, once=once)
-    lines = _sql(spark, _LINES, docs=marked)
-    grams, _ = materialize(spark, _sql(spark, _GRAMS, lines=lines), "truncation-grams")
-    finals, _ = materialize(spark, _sql(spark, _FINALS, lines=lines), "truncation-finals")
+    grams, _ = materialize(spark, _sql(spark, _GRAMS, lines=_sql(spark, _EVERY, docs=marked.where("counted"))), "truncation-grams")
+    finals, _ = materialize(spark, _sql(spark, _FINALS, lines=_sql(spark, _LAST, docs=marked)), "truncation-finals")
     judged = _sql(spark, _judged(), finals=finals, grams=grams)
-    after_token, anywhere = _sql(spark, _PREFIXES, finals=finals, grams=grams), _sql(spark, _ANY_PREFIX, finals=finals, grams=grams)
-    return _sql(spark, f"""
-      SELECT doc_id, source, {_decision()} AS verdict FROM (
-        SELECT j.*, j.shape IN ('<w>', '<W>') AND (
-            coalesce(p.mass, 0) >= {SUPPORT} AND j.i3 <= {RATE} * p.mass
-            OR coalesce(a.mass, 0) >= {SUPPORT} AND a.own <= {RATE} * a.mass AND j.i3 + j.e3 < {CLEARING}) AS word_cut
-        FROM {{judged}} j LEFT JOIN {{p}} p ON j.t1 = p.t1 AND j.t = p.t LEFT JOIN {{a}} a ON j.t = a.t)""", judged=judged, p=after_token, a=anywhere)
+    return _sql(spark, f"SELECT doc_id, source, substring_index(found, ':', -1) AS verdict, substring_index(found, ':', 1) AS rule FROM (SELECT *, {_decision()} AS found FROM {{judged}})", judged=judged)
 
 
 def by_source(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(source, documents, cut, cut_share); a null source is its own group."""
-    return _sql(spark, """SELECT d.source, count(*) AS documents, count_if(j.verdict <> 'whole') AS cut, round(count_if(j.verdict <> 'whole') / count(*), 6) AS cut_share
-      FROM {docs} d LEFT JOIN {j} j ON d.doc_id = j.doc_id GROUP BY d.source""", docs=docs.select("doc_id", "source"), j=judge(spark, docs).select("doc_id", "verdict"))
+    """(source, documents, cut, cut_share, by_trigram): by_trigram counts the cut texts that trigrams decided; a null source is its own group."""
+    return _sql(spark, """SELECT d.source, count(*) AS documents, count_if(j.verdict <> 'whole') AS cut, round(count_if(j.verdict <> 'whole') / count(*), 6) AS cut_share,
+      count_if(j.verdict <> 'whole' AND j.rule = 'trigram') AS by_trigram
+      FROM {docs} d LEFT JOIN {j} j ON d.doc_id = j.doc_id GROUP BY d.source""", docs=docs.select("doc_id", "source"), j=judge(spark, docs).select("doc_id", "verdict", "rule"))

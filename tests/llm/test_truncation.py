@@ -31,6 +31,16 @@ def test_cuts_and_whole_texts(spark):
     assert share["cut"] == (7, 7) and share["null"] == (1, 0) and share[None] == (2, 0) and share["whole"][1] == 0
 
 
+def test_words_of_any_length_are_found_by_trigrams(spark):
+    """A cut inside a word far longer than any field label, and one that other texts are cut at, too."""
+    r = random.Random(4)
+    long_word = "".join(r.choice("abcdefgh") for _ in range(600))
+    rows = [(i, f"{sentence(r)} The reader keeps {long_word} for later use.", "s", "x") for i in range(40)]
+    rows += [(100 + k, f"{sentence(r)} The reader keeps {long_word[:n]}", "s", "x") for k, n in enumerate((1, 50, 599))]
+    got = {x.doc_id: (x.verdict, x.rule) for x in truncation.judge(spark, spark.createDataFrame(rows, DOC)).collect()}
+    assert {k: v for k, v in got.items() if v[0] != "whole"} == {k: ("word", "trigram") for k in (100, 101, 102)}
+
+
 def test_tables_and_json_lines(spark):
     r, rows = corpus(2, 60)
     table = lambda k: "\n".join(f"| {r.choice(NOUNS)} | {r.randrange(99)} | {r.choice(NOUNS)} {r.choice(NOUNS)} |" for _ in range(k))
