@@ -52,8 +52,12 @@ def json_text(value: object) -> str:
 
 
 def flatten(arguments: object) -> Iterator[tuple[str, str | None]]:
-    """(path, JSON scalar) in name order; None marks an omitted payload. Array elements go by their array's name."""
-    stack: list[tuple[str, str, object]] = [("", "", arguments)] if isinstance(arguments, dict) else []
+    """(path, JSON scalar) in name order; None marks an omitted payload. Array elements go by their array's name, top-level ones by their index."""
+    stack: list[tuple[str, str, object]] = []
+    if isinstance(arguments, dict):
+        stack.append(("", "", arguments))
+    elif isinstance(arguments, list):
+        stack.extend((f"[{i}]", str(i), arguments[i]) for i in range(len(arguments) - 1, -1, -1))
     while stack:
         path, name, value = stack.pop()
         if name and is_payload(name):
@@ -79,11 +83,11 @@ def _bounded(lines: list[str]) -> list[str]:
 
 
 def searchable_text(tool: str, arguments: object) -> str:
-    """Tool name, omission marks, then locators; each list and the whole are bounded."""
+    """Tool name (quoted, bounded like a scalar), omission marks, then locators; each list and the whole are bounded."""
     kept, left = [], []
     for path, value in flatten(arguments):
         (left if value is None else kept).append(f"{path}={'<omitted>' if value is None else value}")
-    return "\n".join(_bounded([f"tool={tool}", *_bounded(left), *_bounded(kept)]))
+    return "\n".join(_bounded([f"tool={json_text(tool[:SCALAR_LIMIT])}", *_bounded(left), *_bounded(kept)]))
 
 
 def shell_error(message: dict) -> bool | None:

@@ -2,8 +2,10 @@
 
 Lines are parsed once, in Arrow batches, into per-batch member profiles (JSON types, counts and a
 bottom-k value sketch); profiles are merged by a partially aggregated groupBy, each version is laid
-against its predecessor by one more groupBy, and only added and removed members of a version pair
-meet in a task, where a bipartite matching pairs old names with new ones.
+against its predecessor by one more groupBy, and only versions with both added and removed members reach
+Python, where a bipartite matching pairs old names with new ones. A pair needs evidence: shared values
+in the sketches, or almost the same name, and a JSON type in common; names that share records are no
+renaming. Renames belong to their producer.
 """
 
 from __future__ import annotations
@@ -19,8 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+from .forest import whole_groups
+
 SKETCH = 32
-RENAME_SCORE = 0.6
+#: Evidence for a renaming: the least share of common sketch values (of at least LEAST_VALUES), or the least likeness of the names.
+SHARED_VALUES, LEAST_VALUES, LIKE_NAMES = 0.3, 4, 0.75
 VERSION = ["producer", "record_type", "file_seq"]
 
 
@@ -148,19 +154,26 @@ def version_pairs(prof: DataFrame) -> DataFrame:
 
 
 def similarity(old: dict, new: dict) -> float:
-    """Of two members: shared JSON types, name similarity and overlap of the value sketches, each in [0, 1]."""
+    """Score of a renaming in (0, 1], or 0 without enough evidence.
+
+    Evidence is a JSON type in common (unless one side is null throughout) together with values that occur
+    on both sides or names that differ in little but case and punctuation.
+    """
     a, b = set(old["types"]), set(new["types"])
-    types = 0.5 if not a or not b else len(a & b) / len(a | b)
     if a and b and not a & b:
         return 0.0
+    types = 0.5 if not a or not b else len(a & b) / len(a | b)
     pa, _, na = old["path"].rpartition(".")
     pb, _, nb = new["path"].rpartition(".")
-    name = difflib.SequenceMatcher(None, na.lower().replace("_", ""), nb.lower().replace("_", "")).ratio()
+    plain = lambda name: "".join(c for c in name.lower() if c.isalnum())
+    name = difflib.SequenceMatcher(None, plain(na), plain(nb)).ratio()
     x, y = set(old["sketch"]), set(new["sketch"])
     low = sorted(x | y)[:SKETCH]
-    values = sum(1 for v in low if v in x and v in y) / len(low) if low else 0.0
+    values = sum(1 for v in low if v in x and v in y) / len(low) if len(low) >= LEAST_VALUES else 0.0
+    if values < SHARED_VALUES and name < LIKE_NAMES:
+        return 0.0
     presence = min(old["n"], new["n"]) / max(old["n"], new["n"], 1)
-    return 0.3 * types + 0.35 * name + 0.1 * (pa == pb) + 0.15 * presence + 0.1 * values
+    return 0.4 * name + 0.3 * values + 0.15 * types + 0.1 * (pa == pb) + 0.05 * presence
 
 
 def best_matching(score: np.ndarray) -> list[tuple[int, int]]:
@@ -191,18 +204,41 @@ def best_matching(score: np.ndarray) -> list[tuple[int, int]]:
     return [(int(owner[j]) - 1, j - 1) for j in range(1, cols + 1) if owner[j]]
 
 
-def _match(group: pd.DataFrame) -> pd.DataFrame:
-    out = group.drop(columns=["types", "n", "sketch"]).assign(renamed=None)
-    rows = [dict(path=p, types=list(t), n=int(n), sketch=[int(x) for x in s]) for p, t, n, s in zip(group["field_path"], group["types"], group["n"], group["sketch"])]
-    gone = [i for i, c in enumerate(group["change"]) if c == "removed"]
-    came = [i for i, c in enumerate(group["change"]) if c == "added"]
-    if gone and came:
-        score = np.array([[similarity(rows[i], rows[j]) for j in came] for i in gone])
-        where = out.columns.get_loc("renamed")
-        for a, b in best_matching(score):
-            if score[a, b] >= RENAME_SCORE:
-                out.iloc[gone[a], where], out.iloc[came[b], where] = rows[came[b]]["path"], rows[gone[a]]["path"]
-    return out
+def _match_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(version, old_path, new_path) of the best pairs of removed and added members of each version."""
+    for frame in whole_groups(frames, "version"):
+        out = []
+        for version, group in frame.groupby("version", sort=False):
+            rows = [dict(path=p, types=list(t), n=int(n), sketch=[int(x) for x in s]) for p, t, n, s in zip(group["field_path"], group["types"], group["n"], group["sketch"])]
+            gone = [r for r, c in zip(rows, group["change"]) if c == "removed"]
+            came = [r for r, c in zip(rows, group["change"]) if c == "added"]
+            score = np.array([[similarity(a, b) for b in came] for a in gone])
+            out.extend((version, gone[a]["path"], came[b]["path"]) for a, b in best_matching(score) if score[a, b] > 0)
+        yield pd.DataFrame(out, columns=["version", "old_path", "new_path"])
+
+
+def _renamed(moved: DataFrame, prof: DataFrame) -> DataFrame:
+    """(producer, record_type, file_seq, old_path, new_path) of matched members.
+
+    Only versions with both added and removed members are sorted and walked, in as many tasks as the
+    session's shuffle partitions. A pair is dropped if the producer has a version whose records of the type
+    are fewer than the two members' occurrences together, so that some record must hold both.
+    """
+    spark = moved.sparkSession
+    key = F.to_json(F.struct(*VERSION)).alias("version")
+    both = moved.groupBy(*VERSION).agg(F.count_if(F.col("change") == "added").alias("a"), F.count_if(F.col("change") == "removed").alias("r")).where("a > 0 and r > 0")
+    same = lambda x, y: F.col(f"{x}.producer").eqNullSafe(F.col(f"{y}.producer")) & F.col(f"{x}.record_type").eqNullSafe(F.col(f"{y}.record_type"))
+    open_rows = moved.alias("m").join(both.alias("b"), same("m", "b") & (F.col("m.file_seq") == F.col("b.file_seq")), "left_semi")
+    sent = open_rows.select(key, "field_path", "change", "types", "n", "sketch").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "version").sortWithinPartitions("version", "field_path")
+    pairs = sent.mapInPandas(_match_frames, "version string, old_path string, new_path string")
+    named = pairs.select(F.from_json("version", "producer string, record_type string, file_seq long").alias("v"), "old_path", "new_path").select("v.*", "old_path", "new_path")
+    names = named.select("producer", "record_type", "old_path", "new_path").distinct().alias("q")
+    side = lambda n: prof.select("producer", "record_type", "file_seq", "field_path", "n").alias(n)
+    at = lambda x, y: same(x, y) & (F.col(f"{x}.file_seq") == F.col(f"{y}.file_seq"))
+    met = names.join(side("x"), same("q", "x") & (F.col("q.old_path") == F.col("x.field_path"))).join(side("y"), at("x", "y") & (F.col("q.new_path") == F.col("y.field_path"))).join(
+        side("z"), at("x", "z") & (F.col("z.field_path") == "type")).where(F.col("x.n") + F.col("y.n") > F.col("z.n")).select("q.*").distinct()
+    together = same("n", "t") & (F.col("n.old_path") == F.col("t.old_path")) & (F.col("n.new_path") == F.col("t.new_path"))
+    return named.alias("n").join(met.alias("t"), together, "left_anti")
 
 
 def changes(prof: DataFrame) -> DataFrame:
@@ -225,14 +261,17 @@ def changes(prof: DataFrame) -> DataFrame:
     here = F.coalesce("new", "old")
     moved = rows.where("change <> 'type_changed'").select(
         *base, text("old").alias("old_types"), text("new").alias("new_types"), here["types"].alias("types"), here["n"].alias("n"), here["sketch"].alias("sketch"))
-    schema = "producer string, file_seq long, record_type string, field_path string, change string, old_types string, new_types string, renamed string"
-    matched = moved.withColumn("file_seq", F.col("file_seq").cast("long")).groupBy("producer", "record_type", "file_seq").applyInPandas(_match, schema)
+    moved, _ = materialize(moved.sparkSession, moved.withColumn("file_seq", F.col("file_seq").cast("long")), "drift-moved")
+    pairs = _renamed(moved, prof)
+    names = pairs.select(*VERSION, F.explode(F.array(
+        F.struct(F.lit("removed").alias("change"), F.col("old_path").alias("field_path"), F.col("new_path").alias("renamed")),
+        F.struct(F.lit("added").alias("change"), F.col("new_path").alias("field_path"), F.col("old_path").alias("renamed")))).alias("p")).select(*VERSION, "p.*").alias("n")
+    on = [F.col(f"m.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("producer", "record_type")] + [F.col(f"m.{c}") == F.col(f"n.{c}") for c in ("file_seq", "change", "field_path")]
+    matched = moved.alias("m").join(names, on[0] & on[1] & on[2] & on[3] & on[4], "left").select(*[f"m.{c}" for c in base], "m.old_types", "m.new_types", "n.renamed")
     return typed.withColumn("file_seq", F.col("file_seq").cast("long")).unionByName(matched)
 
 
 def _components(group: pd.DataFrame) -> pd.DataFrame:
-    kind = group["record_type"].iloc[0]
-    weight: dict[str, int] = {}
     up: dict[str, str] = {}
 
     def find(x: str) -> str:
@@ -240,19 +279,28 @@ def _components(group: pd.DataFrame) -> pd.DataFrame:
             up[x] = x = up[up[x]]
         return x
 
-    for a, b, n in group.sort_values("n", ascending=False)[["old_name", "new_name", "n"]].itertuples(index=False):
-        weight[a], weight[b] = weight.get(a, 0) + n, weight.get(b, 0) + n
+    weight = dict(zip(group["old_name"], group["old_n"])) | dict(zip(group["new_name"], group["new_n"]))
+    for a, b in zip(group["old_name"], group["new_name"]):
         up[find(a)] = find(b)
     best: dict[str, str] = {}
     for name in sorted(weight, key=lambda x: (-weight[x], x)):
         best.setdefault(find(name), name)
-    return pd.DataFrame({"record_type": kind, "field_path": list(weight), "canonical": [best[find(x)] for x in weight]})
+    return pd.DataFrame({"producer": group["producer"].iloc[0], "record_type": group["record_type"].iloc[0], "field_path": list(weight), "canonical": [best[find(x)] for x in weight]})
 
 
 def renames(found: DataFrame) -> DataFrame:
-    """(record_type, field_path, canonical): names joined by renamings, with the most often involved name."""
-    edges = found.where("change = 'added' and renamed is not null").groupBy("record_type", F.col("renamed").alias("old_name"), F.col("field_path").alias("new_name")).agg(F.count("*").alias("n"))
-    return edges.groupBy("record_type").applyInPandas(_components, "record_type string, field_path string, canonical string")
+    """(producer, record_type, field_path, canonical): names joined by a producer's renamings.
+
+    The canonical name is the one that most renamings of the record type involve over all producers, so that
+    producers agree; ties go to the smaller name. A group holds the distinct renamings of one producer and
+    record type, whose number its member names bound.
+    """
+    edges = found.where("change = 'added' and renamed is not null").groupBy("producer", "record_type", F.col("renamed").alias("old_name"), F.col("field_path").alias("new_name")).agg(F.count("*").alias("n"))
+    weight = edges.select("record_type", "n", F.explode(F.array("old_name", "new_name")).alias("name")).groupBy("record_type", "name").agg(F.sum("n").alias("n"))
+    e, o, w = edges.alias("e"), weight.alias("o"), weight.alias("w")
+    at = lambda x, side: F.col("e.record_type").eqNullSafe(F.col(f"{x}.record_type")) & (F.col(f"e.{side}") == F.col(f"{x}.name"))
+    weighed = e.join(o, at("o", "old_name")).join(w, at("w", "new_name")).select("e.producer", "e.record_type", "old_name", "new_name", F.col("o.n").alias("old_n"), F.col("w.n").alias("new_n"))
+    return weighed.groupBy("producer", "record_type").applyInPandas(_components, "producer string, record_type string, field_path string, canonical string")
 
 
 def _member_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,24 +310,29 @@ def _member_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             record = parse_object(text)
             if record is not None:
                 kind = _type_of(record)
-                out.extend((file_id, line_no, kind, path, value_text(value)) for path, value in members(record) if not isinstance(value, dict))
-        yield pd.DataFrame(out, columns=["file_id", "line_no", "record_type", "field_path", "value"])
+                out.extend((file_id, line_no, kind, path, json_type(value) or "null", value_text(value)) for path, value in members(record) if value == {} or not isinstance(value, dict))
+        yield pd.DataFrame(out, columns=["file_id", "line_no", "record_type", "field_path", "json_type", "value"])
 
 
-def unify(records: DataFrame, mapping: DataFrame) -> DataFrame:
-    """All records in one schema: file_id, line_no, record_type and fields (canonical path -> text).
+def unify(records: DataFrame, files: DataFrame, mapping: DataFrame) -> DataFrame:
+    """All records in one schema: file_id, line_no, record_type and fields, a map of name -> (json_type, value).
 
-    Repeated deliveries of a line count once (its latest by read_at). When old and new names occur in
-    one record, the canonical name's own value wins, then the smallest path with a value. Null members
-    stay out of the map.
+    Values are text with their JSON type beside them; nulls have type null, objects appear as their members
+    and only empty ones as themselves. Names are those of ``mapping`` for the file's producer. Repeated
+    deliveries of a line count once (its latest by read_at). When several names of one member occur in a record,
+    the canonical name keeps its own value, or takes that of the smallest path; the others stay under
+    their own names, so no value is lost.
     """
     w = W.partitionBy("file_id", "line_no").orderBy(F.col("read_at").desc_nulls_last(), F.col("raw_json").desc_nulls_last())
     once = records.select("file_id", "line_no", "raw_json", "read_at").withColumn("rn", F.row_number().over(w)).where("rn = 1 and raw_json is not null")
-    cells = once.select("file_id", "line_no", "raw_json").mapInPandas(_member_frames, "file_id long, line_no int, record_type string, field_path string, value string")
-    on = cells["record_type"].eqNullSafe(mapping["record_type"]) & (cells["field_path"] == mapping["field_path"])
-    named = cells.join(mapping, on, "left").select(
-        "file_id", "line_no", cells["record_type"], F.coalesce("canonical", cells["field_path"]).alias("name"),
-        F.struct((F.coalesce("canonical", cells["field_path"]) != cells["field_path"]).alias("other"), cells["field_path"].alias("path"), "value").alias("cell"))
-    one = named.where("cell.value is not null").groupBy("file_id", "line_no", "record_type", "name").agg(F.min("cell").alias("cell"))
-    maps = one.groupBy("file_id", "line_no", "record_type").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "cell.value")))).alias("fields"))
-    return maps
+    cells = once.select("file_id", "line_no", "raw_json").mapInPandas(_member_frames, "file_id long, line_no int, record_type string, field_path string, json_type string, value string")
+    made_by = files.select(F.col("file_id").alias("f_id"), F.col("producer").alias("f_producer")).where("f_id is not null").groupBy("f_id").agg(F.min("f_producer").alias("f_producer"))
+    names = mapping.select(F.col("producer").alias("m_producer"), F.col("record_type").alias("m_type"), F.col("field_path").alias("m_path"), "canonical").join(
+        made_by, F.col("m_producer").eqNullSafe(F.col("f_producer"))).select(F.col("f_id").alias("m_id"), "m_type", "m_path", "canonical")
+    on = (cells["file_id"] == F.col("m_id")) & cells["record_type"].eqNullSafe(F.col("m_type")) & (cells["field_path"] == F.col("m_path"))
+    named = cells.join(names, on, "left").select("file_id", "line_no", "record_type", "field_path", F.coalesce("canonical", "field_path").alias("name"), F.struct("json_type", "value").alias("cell"))
+    group = F.struct((F.col("field_path") != F.col("name")).alias("other"), F.col("field_path").alias("path"), "name", "cell")
+    gathered = named.groupBy("file_id", "line_no", "record_type").agg(F.array_sort(F.collect_list(group)).alias("all"))  # the members of one record
+    first = F.transform("all", lambda x, i: F.struct(
+        F.when(F.exists(F.slice("all", 1, F.greatest(i, F.lit(0))), lambda y: y["name"] == x["name"]), x["path"]).otherwise(x["name"]).alias("name"), x["cell"].alias("cell")))
+    return gathered.select("file_id", "line_no", "record_type", F.map_from_entries(F.array_sort(first)).alias("fields"))

@@ -38,20 +38,32 @@ def snapshot_diff(files: DataFrame, stored: DataFrame, ignored: DataFrame | None
 
 
 def reuse_vectors(wanted: DataFrame, current: DataFrame, legacy: DataFrame) -> DataFrame:
-    """(id, checksum, session, text, source, vector): where each document's vector comes from.
+    """(id, checksum, session, source, vector): where the vector of each document comes from.
 
-    current, then legacy by (id, checksum), else the first document of the session with the same text is
-    embedded and the others copy it (source embed and copy).
+    ``wanted``: id, checksum (of the text), session. The own current vector (by id and checksum) comes first
+    (current), then a current vector of the same text in the session (copy), then the own legacy one
+    (legacy), then a legacy one of the same text (copy). Without any, the smallest id of the text is
+    embedded (embed) and the others copy it; their vector is null until ``fill_copies``. Of several equal
+    texts with a vector the smallest id's counts.
     """
-    from pyspark.sql import Window as W
-
     c, g = current.select("id", "checksum", F.col("vector").alias("v1")), legacy.select("id", "checksum", F.col("vector").alias("v2"))
-    j = wanted.join(c, ["id", "checksum"], "left").join(g, ["id", "checksum"], "left")
-    known = F.coalesce("v1", "v2")
-    nth = F.row_number().over(W.partitionBy("session", "text", known.isNull()).orderBy("id"))
-    return j.withColumn("nth", nth).select(
-        "id", "checksum", "session", "text",
-        F.when(F.col("v1").isNotNull(), "current").when(F.col("v2").isNotNull(), "legacy").when(F.col("nth") == 1, "embed").otherwise("copy").alias("source"), known.alias("vector"))
+    j = wanted.select("id", "checksum", "session").join(c, ["id", "checksum"], "left").join(g, ["id", "checksum"], "left")
+    text = ["session", "checksum"]
+    first = j.groupBy(*text).agg(
+        F.min("id").alias("first"), F.min_by("v1", F.when(F.col("v1").isNotNull(), F.col("id"))).alias("t1"), F.min_by("v2", F.when(F.col("v2").isNotNull(), F.col("id"))).alias("t2"))
+    same = [F.col(f"j.{k}").eqNullSafe(F.col(f"f.{k}")) for k in text]
+    both = j.alias("j").join(first.alias("f"), same[0] & same[1])
+    source = (
+        F.when(F.col("v1").isNotNull(), "current").when(F.col("t1").isNotNull(), "copy").when(F.col("v2").isNotNull(), "legacy")
+        .when(F.col("t2").isNotNull() | (F.col("id") != F.col("first")), "copy").otherwise("embed"))
+    return both.select("j.id", "j.checksum", "j.session", source.alias("source"), F.coalesce("v1", "t1", "v2", "t2").alias("vector"))
+
+
+def fill_copies(reused: DataFrame, embedded: DataFrame) -> DataFrame:
+    """(id, checksum, session, source, vector) with the vectors of ``embedded`` (id, vector) at the embedded documents and their copies."""
+    made = reused.where("source = 'embed'").join(embedded.select("id", F.col("vector").alias("made")), "id").select("session", "checksum", "made")
+    on = F.col("r.session").eqNullSafe(F.col("m.session")) & F.col("r.checksum").eqNullSafe(F.col("m.checksum"))
+    return reused.alias("r").join(made.alias("m"), on, "left").select("r.id", "r.checksum", "r.session", "r.source", F.coalesce("r.vector", "m.made").alias("vector"))
 
 
 def replace_rows(old: DataFrame, new: DataFrame, changed: DataFrame, key: str = "session_path") -> DataFrame:

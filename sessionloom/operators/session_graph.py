@@ -27,6 +27,10 @@ DOCUMENT = (
     "tool_name string, tool_call_entry_id string, tool_result_entry_id string, tool_error boolean, content string, projection_input_id string, input_checksum string, error string"
 )
 COLUMNS = [c.split()[0] for c in DOCUMENT.split(", ")]
+ENTRY = (
+    "session_path string, session_no int, session_id string, entry_id string, parent_id string, depth int, child_ids array<string>, is_active boolean, is_visible boolean, "
+    "leaf_ids array<string>, compacted_by array<string>, line int, record_type string, error string"
+)
 INVOCATION = "session_path string, session_id string, cwd string, kind string, tool_name string, tool_call_id string, entry_id string, line int, block int, timestamp string, is_error boolean, text string"
 
 
@@ -75,17 +79,36 @@ class Graph:
         self.leaves_of = self._leaf_membership()
 
     def _check_cycles(self) -> None:
-        done: set[str] = set()
+        """Depth of every entry; an entry met again on its own way up closes a cycle."""
+        self.depth: dict[str, int] = {}
         for e in self.entries:
             trail, at = [], e["id"]
             seen: set[str] = set()
-            while at is not None and at not in done:
+            while at is not None and at not in self.depth:
                 if at in seen:
                     raise Invalid("links form a cycle")
                 seen.add(at)
                 trail.append(at)
                 at = self.at[at]["parent"]
-            done.update(trail)
+            base = -1 if at is None else self.depth[at]
+            for k, i in enumerate(reversed(trail), 1):
+                self.depth[i] = base + k
+        # numbers of one depth-first walk: b lies below a if its number falls into a's range
+        self.enter: dict[str, int] = {}
+        self.leave: dict[str, int] = {}
+        open_entries = [e["id"] for e in reversed(self.entries) if e["parent"] is None]
+        order = []
+        while open_entries:
+            at = open_entries.pop()
+            self.enter[at] = len(order)
+            order.append(at)
+            open_entries.extend(reversed(self.children[at]))
+        for at in reversed(order):
+            self.leave[at] = max([self.enter[at], *(self.leave[c] for c in self.children[at])])
+
+    def above(self, a: str, b: str) -> bool:
+        """Whether a is a proper ancestor of b."""
+        return a != b and self.enter[a] <= self.enter[b] <= self.leave[a]
 
     def path(self, entry: str) -> list[str]:
         """Ids from the root to an entry."""
@@ -98,7 +121,7 @@ class Graph:
     def _check_links(self) -> None:
         for e in self.entries:
             r = e["record"]
-            if r["type"] == "compaction" and not isinstance(r.get("retainedTail"), list) and _text(r, "firstKeptEntryId") not in self.path(e["id"])[:-1]:
+            if r["type"] == "compaction" and not isinstance(r.get("retainedTail"), list) and not ((kept := _text(r, "firstKeptEntryId")) in self.at and self.above(kept, e["id"])):
                 raise Invalid(f"compaction {e['id']} keeps no ancestor")
             if r["type"] == "branch_summary" and r.get("fromId") != "root" and r.get("fromId") not in self.at:
                 raise Invalid(f"branch summary {e['id']} comes from nowhere")
@@ -131,24 +154,28 @@ class Graph:
         return [*kept, *path[last:]]
 
     def _compactions(self) -> dict[str, list[str]]:
+        """Entry -> compactions that leave it out, in file order: the path above the kept entry, or above the compaction itself."""
         out: dict[str, list[str]] = {}
         for e in self.entries:
             r = e["record"]
             if r["type"] == "compaction":
-                above = self.path(e["id"])[:-1]
-                stop = len(above) if isinstance(r.get("retainedTail"), list) else above.index(r["firstKeptEntryId"])
-                for a in above[:stop]:
-                    out.setdefault(a, []).append(e["id"])
+                at = self.at[e["id"] if isinstance(r.get("retainedTail"), list) else r["firstKeptEntryId"]]["parent"]
+                while at is not None:
+                    out.setdefault(at, []).append(e["id"])
+                    at = self.at[at]["parent"]
         return out
 
     def _leaf_membership(self) -> dict[str, list[str]]:
+        """Entry -> ends of the branches through it, in file order, the current leaf last if it is no end."""
         ends = [e["id"] for e in self.entries if not self.children[e["id"]]]
         if self.leaf and self.leaf not in ends:
             ends.append(self.leaf)
         out: dict[str, list[str]] = {e["id"]: [] for e in self.entries}
         for end in ends:
-            for a in self.path(end):
-                out[a].append(end)
+            at = end
+            while at is not None:
+                out[at].append(end)
+                at = self.at[at]["parent"]
         return out
 
     def message(self, entry: dict) -> dict | None:
@@ -240,6 +267,29 @@ def _records(group: pd.DataFrame) -> list[tuple[int, dict]]:
     return [(int(n), json.loads(t)) for n, t in zip(g["line"], g["record_json"])]
 
 
+def project_graph(records: DataFrame) -> DataFrame:
+    """One row per entry of every logical session of ``import_sessions``: links, depth, branches, current path, context, compactions.
+
+    A session that breaks a rule gives one row with ``error``; a valid one without entries gives one row with
+    null entry_id. Rejected files are left out.
+    """
+    names = [c.split()[0] for c in ENTRY.split(", ")]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        base = {"session_path": group["session_path"].iloc[0], "session_no": int(group["session_no"].iloc[0]), "session_id": group["session_id"].iloc[0]}
+        try:
+            g = Graph(_records(group))
+            rows = [base | {
+                "entry_id": e["id"], "parent_id": e["parent"], "depth": g.depth[e["id"]], "child_ids": g.children[e["id"]], "is_active": e["id"] in g.active, "is_visible": e["id"] in g.visible,
+                "leaf_ids": g.leaves_of[e["id"]], "compacted_by": g.compacted.get(e["id"], []), "line": e["line"], "record_type": e["record"]["type"]} for e in g.entries] or [base]
+        except ValueError as e:
+            rows = [base | {"error": str(e)}]
+        out = pd.DataFrame(rows, columns=names).astype(object)
+        return out.where(out.notna(), None)
+
+    return records.where("error is null").groupBy("session_path", "session_no").applyInPandas(run, ENTRY)
+
+
 def project_sessions(records: DataFrame, policy: ck.ChunkPolicy | None = None, count: Callable[[str], int] = ck.whitespace_tokens) -> DataFrame:
     """Dense documents of all logical sessions of ``import_sessions``; an invalid session gives one row with ``error``.
 

@@ -104,11 +104,28 @@ def p6_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_unified(spark: SparkSession, d: str) -> DataFrame:
-    table = drift.unify(spark.read.parquet(f"{d}/raw_records.parquet"), drift.renames(_changes(spark, d)))
+    table = drift.unify(spark.read.parquet(f"{d}/raw_records.parquet"), spark.read.parquet(f"{d}/session_files.parquet"), drift.renames(_changes(spark, d)))
     return table.withColumn("fields", F.to_json("fields"))
 
 
+P6_FOUND_SQL = """WITH RECURSIVE rec AS (
+  SELECT f.producer, f.file_seq, json_extract_string(j, '$.type') AS record_type, j FROM (SELECT DISTINCT file_id, producer, file_seq FROM session_files) f
+  JOIN (SELECT file_id, CASE WHEN json_valid(raw_json) THEN raw_json::JSON END AS j FROM raw_records) r ON r.file_id = f.file_id
+  WHERE json_type(j) = 'OBJECT' AND f.producer IS NOT NULL AND f.file_seq IS NOT NULL),
+member AS (
+  SELECT producer, file_seq, record_type, k AS field_path, json_extract(j, '/' || replace(replace(k, '~', '~0'), '/', '~1')) AS v FROM (SELECT *, unnest(json_keys(j)) AS k FROM rec)
+  UNION ALL SELECT producer, file_seq, record_type, field_path || '.' || k, json_extract(v, '/' || replace(replace(k, '~', '~0'), '/', '~1')) FROM (SELECT *, unnest(json_keys(v)) AS k FROM member WHERE json_type(v) = 'OBJECT')),
+typed AS (SELECT DISTINCT producer, file_seq, record_type, field_path, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS t FROM member),
+prof AS (SELECT producer, file_seq, record_type, field_path, coalesce(string_agg(t, '|' ORDER BY t), '') AS types FROM typed GROUP BY ALL),
+ver AS (SELECT *, lag(file_seq) OVER (PARTITION BY producer, record_type ORDER BY file_seq) AS prev FROM (SELECT DISTINCT producer, record_type, file_seq FROM prof)),
+old AS (SELECT v.producer, v.record_type, v.file_seq, p.field_path, p.types FROM ver v JOIN prof p ON p.producer = v.producer AND p.record_type IS NOT DISTINCT FROM v.record_type AND p.file_seq = v.prev),
+new AS (SELECT v.producer, v.record_type, v.file_seq, p.field_path, p.types FROM ver v JOIN prof p ON p.producer = v.producer AND p.record_type IS NOT DISTINCT FROM v.record_type AND p.file_seq = v.file_seq WHERE v.prev IS NOT NULL)
+SELECT coalesce(n.producer, o.producer) AS producer, coalesce(n.file_seq, o.file_seq) AS file_seq, coalesce(n.record_type, o.record_type) AS record_type, coalesce(n.field_path, o.field_path) AS field_path
+FROM old o FULL JOIN new n ON o.producer = n.producer AND o.record_type IS NOT DISTINCT FROM n.record_type AND o.file_seq = n.file_seq AND o.field_path = n.field_path
+WHERE o.field_path IS NULL OR n.field_path IS NULL OR (o.types <> n.types AND o.types <> '' AND n.types <> '')"""
+
 QUERIES |= {"p6_found": p6_found, "p6_changes": p6_changes, "p6_unified": p6_unified}
+ORACLE |= {"p6_found": P6_FOUND_SQL}
 
 
 def _orphans(spark: SparkSession, d: str) -> orphans.OrphanState:

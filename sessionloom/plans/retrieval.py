@@ -184,17 +184,34 @@ def excerpts(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "entries").where("message_content is not null").select("row_id", scan.short_excerpt(F.col("message_content"), 80).alias("excerpt"))
 
 
-@query("""WITH l AS (SELECT printf('%012d', file_id) AS path, line_no AS line, raw_json AS text, CASE WHEN json_valid(raw_json) THEN raw_json END AS j FROM (
-  SELECT * FROM raw_records WHERE raw_json IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id, line_no ORDER BY read_at DESC, raw_json DESC) = 1)),
-p AS (SELECT *, contains(lower(text), 'estalegen') AS hit, CASE WHEN contains(text, '"session"') AND json_extract_string(j, '$.type') = 'session' THEN json_extract_string(j, '$.cwd') END AS cwd FROM l),
-o AS (SELECT *, last_value(cwd IGNORE NULLS) OVER (PARTITION BY path ORDER BY line ROWS UNBOUNDED PRECEDING) AS origin FROM p)
-SELECT path, line, origin FROM o WHERE hit AND path NOT IN (SELECT path FROM o WHERE hit AND j IS NULL) ORDER BY path, line LIMIT 200""")
+_SCAN_SQL = """l AS (SELECT printf('%012d', file_id) AS path, line_no AS line, raw_json AS text, CASE WHEN json_valid(raw_json) THEN raw_json::JSON END AS j FROM (
+  SELECT * FROM raw_records WHERE raw_json IS NOT NULL AND file_id IS NOT NULL AND line_no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id, line_no ORDER BY read_at DESC, md5(raw_json) DESC) = 1)),
+p AS (SELECT *, contains(lower(text), '{word}') AS hit FROM l WHERE contains(lower(text), '{word}') OR contains(text, '"session"')),
+o AS (SELECT *, coalesce(last_value(CASE WHEN json_type(j, '$.type') = 'VARCHAR' AND json_extract_string(j, '$.type') = 'session' THEN CASE WHEN json_type(j, '$.cwd') = 'VARCHAR' THEN json_extract_string(j, '$.cwd') ELSE '' END END IGNORE NULLS)
+  OVER (PARTITION BY path ORDER BY line ROWS UNBOUNDED PRECEDING), '') AS origin FROM p),
+bad AS (SELECT path, min(line) AS line FROM o WHERE j IS NULL GROUP BY 1)"""
+
+
+def _source_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Current lines of raw_records: the latest delivery is found by narrow keys, so no text is shuffled for it."""
+    raw = _t(spark, d, "raw_records").where("raw_json is not null and file_id is not null and line_no is not null").withColumn("mark", F.struct("read_at", F.md5("raw_json")))
+    last = raw.groupBy("file_id", "line_no").agg(F.max("mark").alias("mark"))
+    kept = raw.join(last, ["file_id", "line_no", "mark"], "left_semi").select(F.format_string("%012d", "file_id").alias("path"), F.col("line_no").alias("line"), F.col("raw_json").alias("text"))
+    return kept.dropDuplicates(["path", "line"])
+
+
+@query(f"""WITH {_SCAN_SQL.format(word='estalegen')} SELECT path, line, CASE WHEN json_type(j, '$.id') = 'VARCHAR' THEN json_extract_string(j, '$.id') END AS entry_id, origin,
+  CASE WHEN length(text) <= 2000 THEN text ELSE (CASE WHEN s > 0 THEN '…' ELSE '' END) || substring(text, s + 1, 1998) || CASE WHEN s + 1998 < length(text) THEN '…' ELSE '' END END AS excerpt
+  FROM (SELECT *, greatest(0, strpos(lower(text), 'estalegen') - 1 - 999) AS s FROM o WHERE hit AND path NOT IN (SELECT path FROM bad)) ORDER BY path, line LIMIT 200""")
 def source_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Literal search over raw lines with the session origin in force at each match."""
-    w = W.partitionBy("file_id", "line_no").orderBy(F.col("read_at").desc(), F.col("raw_json").desc())
-    once = _t(spark, d, "raw_records").where("raw_json is not null").withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    lines = once.select(F.format_string("%012d", "file_id").alias("path"), F.col("line_no").alias("line"), F.col("raw_json").alias("text"))
-    return scan.source_search(lines, "ESTALEGEN", 200).select("path", "line", "origin")
+    """Literal search over raw lines with the session origin in force at each match and an excerpt."""
+    return scan.source_search(_source_lines(spark, d), "ESTALEGEN", 200)
+
+
+@query(f"WITH {_SCAN_SQL.format(word='estalegen')} SELECT path, line FROM bad")
+def source_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Files that the search reports as unreadable."""
+    return scan.source_failures(_source_lines(spark, d), "ESTALEGEN").select("path", "line")
 
 
 @query(f"""WITH s AS (SELECT DISTINCT rtrim(cwd, '/') AS origin FROM sessions WHERE cwd IS NOT NULL),
@@ -301,18 +318,18 @@ def session_segments(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("session_key", "entry_key", F.sum((F.col("message_role") == "user").cast("int")).over(w).alias("segment"))
 
 
-@query(f"""SELECT session_key, arg_max({norm_sql('target_id')}, line_no) AS target FROM (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY entry_key ORDER BY ingested_at DESC, row_id DESC) = 1)
-  WHERE deleted_at IS NULL AND record_type = 'leaf' AND target_id IS NOT NULL GROUP BY 1""")
+@query(f"""SELECT session_key, {norm_sql('target_id')} AS target FROM (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY entry_key ORDER BY ingested_at DESC, row_id DESC) = 1)
+  WHERE deleted_at IS NULL AND record_type = 'leaf' QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY line_no DESC NULLS LAST, entry_key DESC) = 1""")
 def latest_leaf(spark: SparkSession, d: str) -> DataFrame:
-    """The last leaf record of each session."""
+    """The target of the last leaf record of each session, also where it is null."""
     e = _t(spark, d, "entries").select("entry_key", "row_id", "session_key", "line_no", "record_type", text.norm_id(F.col("target_id")).alias("t"), "ingested_at", "deleted_at")
-    return live_rows(e, "entry_key", tie="row_id").where("record_type = 'leaf' and t is not null").groupBy("session_key").agg(F.max_by("t", "line_no").alias("target"))
+    return live_rows(e, "entry_key", tie="row_id").where("record_type = 'leaf'").groupBy("session_key").agg(F.max_by(F.struct("t"), F.struct("line_no", "entry_key")).alias("last")).select("session_key", F.col("last.t").alias("target"))
 
 
 @query("""SELECT call_key, regexp_matches(k, '(body|content|filebody|filecontent|newtext|oldtext|prompt|replacement|replacementtext|script)$') OR k IN ('code','data','image','images','instructions','output','prompts','scripts','stderr','stdout','task','text') AS omitted, k AS name
   FROM (SELECT call_key, lower(regexp_replace(unnest(json_keys(call_arguments)), '[^A-Za-z0-9]', '', 'g')) AS k FROM (SELECT * FROM tool_calls WHERE json_valid(call_arguments) QUALIFY row_number() OVER (PARTITION BY call_key ORDER BY ingested_at DESC) = 1))""")
 def omit_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Argument names whose payload the invocation projection leaves out."""
+    """Top-level argument names whose payload the invocation projection leaves out."""
     from ..functions.invocations import PAYLOAD_ENDINGS, PAYLOAD_NAMES
     from ..functions.records import current_rows
 
@@ -322,12 +339,13 @@ def omit_keys(spark: SparkSession, d: str) -> DataFrame:
     return names.select("call_key", (F.col("name").rlike(f"({'|'.join(PAYLOAD_ENDINGS)})$") | F.col("name").isin(sorted(PAYLOAD_NAMES))).alias("omitted"), "name")
 
 
-@query("""SELECT c.call_key, arg_max(e.message_is_error, e.line_no) AS is_error FROM (SELECT * FROM tool_calls QUALIFY row_number() OVER (PARTITION BY call_key ORDER BY ingested_at DESC) = 1) c
-  LEFT JOIN (SELECT * FROM (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY entry_key ORDER BY ingested_at DESC, row_id DESC) = 1) WHERE deleted_at IS NULL AND message_role = 'toolResult' AND message_is_error IS NOT NULL) e
-  ON e.session_key = c.session_key AND """ + norm_sql("e.message_tool_call_id") + " = " + norm_sql("c.tool_call_id") + " GROUP BY 1")
+@query("""SELECT c.call_key, e.message_is_error AS is_error FROM (SELECT * FROM tool_calls WHERE call_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY call_key ORDER BY ingested_at DESC) = 1) c
+  LEFT JOIN (SELECT *, """ + norm_sql("message_tool_call_id") + """ AS call FROM (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY entry_key ORDER BY ingested_at DESC, row_id DESC) = 1) WHERE deleted_at IS NULL AND message_role = 'toolResult'
+    QUALIFY row_number() OVER (PARTITION BY session_key, """ + norm_sql("message_tool_call_id") + """ ORDER BY line_no DESC NULLS LAST, entry_key DESC) = 1) e
+  ON e.session_key = c.session_key AND e.call = """ + norm_sql("c.tool_call_id"))
 def call_results(spark: SparkSession, d: str) -> DataFrame:
-    """Each tool call with the error flag of its last result."""
+    """Each tool call with the error flag of its last result, null where the last one has none."""
     e = live_rows(_t(spark, d, "entries").select("entry_key", "row_id", "session_key", "line_no", "message_role", "message_is_error", text.norm_id(F.col("message_tool_call_id")).alias("call"), "ingested_at", "deleted_at"), "entry_key", tie="row_id")
-    last = e.where("message_role = 'toolResult' and message_is_error is not null").groupBy("session_key", "call").agg(F.max_by("message_is_error", "line_no").alias("is_error"))
+    last = e.where("message_role = 'toolResult'").groupBy("session_key", "call").agg(F.max_by(F.struct("message_is_error"), F.struct("line_no", "entry_key")).alias("last")).select("session_key", "call", F.col("last.message_is_error").alias("is_error"))
     c = _calls(spark, d).withColumn("call", text.norm_id(F.col("tool_call_id")))
     return c.join(last, ["session_key", "call"], "left").select("call_key", "is_error")

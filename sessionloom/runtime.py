@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -46,13 +45,16 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one only where none is set, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir); a local one only where none is set and the master is local, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jvm_dir.isDefined():
         return jvm_dir.get().rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = os.path.join(tempfile.gettempdir(), f"sessionloom-{spark.sparkContext.applicationId}")
     os.makedirs(local, exist_ok=True)
     return f"file://{local}"
@@ -81,10 +83,3 @@ def small_side(spark: SparkSession, df: DataFrame, tag: str, most_rows: int = 50
     """df, written to the shared folder and counted: broadcast up to ``most_rows`` narrow rows, joined as it is beyond."""
     kept, _ = materialize(spark, df, tag)
     return F.broadcast(kept) if kept.count() <= most_rows else kept
-
-
-def reclaim(spark: SparkSession) -> None:
-    """Let the context cleaner drop the shuffle files of stages whose result is already materialised."""
-    gc.collect()  # drops Python's handles on finished plans
-    for _ in range(2):  # plans first, then the shuffles that only they referred to
-        spark._jvm.System.gc()

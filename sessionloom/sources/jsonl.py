@@ -82,17 +82,40 @@ def _has_version(record: dict) -> bool:
     return record.get("version") in (2, 3) and not isinstance(record.get("version"), bool)
 
 
+def _is_number(value: object) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool)
+
+
+def _is_whole(value: object) -> bool:
+    return _is_number(value) and float(value).is_integer()
+
+
+# What a message of each role of the oldest format must hold beside role and numeric timestamp: (test, members).
+_LINEAR_MESSAGE = {
+    "user": [(lambda m, k: k in m, ["content"])],
+    "assistant": [(lambda m, k: isinstance(m.get(k), list), ["content"]), (_filled, ["api", "provider", "model", "stopReason"]), (lambda m, k: isinstance(m.get(k), dict), ["usage"])],
+    "toolResult": [(lambda m, k: isinstance(m.get(k), list), ["content"]), (_filled, ["toolCallId", "toolName"]), (lambda m, k: isinstance(m.get(k), bool), ["isError"])],
+    "bashExecution": [(lambda m, k: isinstance(m.get(k), str), ["command", "output"]), (lambda m, k: isinstance(m.get(k), bool), ["cancelled", "truncated"])],
+}
+_LINEAR_ENTRY = {
+    "model_change": [(_filled, ["provider", "modelId"])],
+    "thinking_level_change": [(_filled, ["thinkingLevel"])],
+    "compaction": [(lambda r, k: isinstance(r.get(k), str), ["summary"]), (lambda r, k: _is_whole(r.get(k)), ["firstKeptEntryIndex"]), (lambda r, k: _is_number(r.get(k)), ["tokensBefore"])],
+}
+
+
+def _holds(record: dict, tests: list | None) -> bool:
+    return tests is not None and all(test(record, k) for test, names in tests for k in names)
+
+
 def _is_linear_entry(record: dict) -> bool:
-    """An entry of the oldest format: dated, without id or parent, with what its type needs."""
+    """An entry of the oldest format: dated, without id or parent, of a type it knows and with what that type needs."""
     if "id" in record or "parentId" in record or not _filled(record, "timestamp"):
         return False
-    kind = record["type"]
-    if kind == "message":
-        return isinstance(record.get("message"), dict) and isinstance(record["message"].get("role"), str)
-    if kind == "compaction":
-        index = record.get("firstKeptEntryIndex")
-        return isinstance(record.get("summary"), str) and isinstance(index, int) and not isinstance(index, bool) and index >= 0
-    return kind in ("custom_message", "session_info", "branch_summary", "model_change", "thinking_level_change")
+    if record["type"] != "message":
+        return _holds(record, _LINEAR_ENTRY.get(record["type"]))
+    m = record.get("message")
+    return isinstance(m, dict) and _filled(m, "role") and _is_number(m.get("timestamp")) and _holds(m, _LINEAR_MESSAGE.get(m["role"]))
 
 
 def linear_to_canonical(records: list[tuple[int, dict]]) -> list[tuple[int, dict]]:
@@ -105,7 +128,7 @@ def linear_to_canonical(records: list[tuple[int, dict]]) -> list[tuple[int, dict
     for i, (n, r) in enumerate(rest):
         new = dict(r) | {"id": ids[i], "parentId": ids[i - 1] if i else None}
         if r["type"] == "compaction":
-            kept = new.pop("firstKeptEntryIndex") - 1
+            kept = int(new.pop("firstKeptEntryIndex")) - 1
             if not 0 <= kept < len(ids):
                 raise Rejected(f"line {n}: kept entry out of range")
             new["firstKeptEntryId"] = ids[kept]

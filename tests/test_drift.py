@@ -27,18 +27,48 @@ def test_added_removed_type_and_rename(spark):
 
 
 def test_unified_names_and_repeated_lines(spark):
-    rows = [(1, 0, '{"type":"m","parentId":"a","v":1.50}'), (2, 0, '{"type":"m","parent_id":"b","v":null}'), (2, 0, '{"type":"m","parent_id":"b","v":null}'), (2, 1, "{}")]
+    rows = [(1, 0, '{"type":"m","parentId":"a","v":1.50,"e":{}}'), (2, 0, '{"type":"m","parent_id":"b","v":null}'), (2, 0, '{"type":"m","parent_id":"b","v":null}'), (2, 1, "{}")]
     recs, files = tables(spark, rows, [(1, "p", 1), (2, "p", 2)])
-    out = drift.unify(recs, drift.renames(drift.changes(drift.profiles(recs, files)))).collect()
-    names = [set(r.fields) - {"type", "v"} for r in sorted(out, key=lambda r: r.file_id)]
+    out = drift.unify(recs, files, drift.renames(drift.changes(drift.profiles(recs, files)))).collect()
+    names = [set(r.fields) - {"type", "v", "e"} for r in sorted(out, key=lambda r: r.file_id)]
     assert len(out) == 2 and names[0] == names[1] and len(names[0]) == 1
-    assert [r.fields.get("v") for r in sorted(out, key=lambda r: r.file_id)] == ["1.50", None]
+    first, second = sorted(out, key=lambda r: r.file_id)
+    assert tuple(first.fields["v"]) == ("number", "1.50") and tuple(second.fields["v"]) == ("null", None) and tuple(first.fields["e"]) == ("object", "{}")
+
+
+def test_values_of_both_names_survive(spark):
+    """A record that holds the old and the new name keeps both values; another producer's names are its own."""
+    rows = [(1, 0, '{"type":"m","parentId":"a"}'), (2, 0, '{"type":"m","parent_id":"b"}'), (3, 0, '{"type":"m","parentId":"LEFT","parent_id":"RIGHT"}'), (4, 0, '{"type":"m","parent_id":"q"}')]
+    recs, files = tables(spark, rows, [(1, "p", 1), (2, "p", 2), (3, "p2", 9), (4, "q", 1)])
+    mapping = spark.createDataFrame([(p, "m", n, "parentId") for p in ("p", "p2") for n in ("parentId", "parent_id")], "producer string, record_type string, field_path string, canonical string")
+    got = {r.file_id: {k: v.value for k, v in r.fields.items() if k != "type"} for r in drift.unify(recs, files, mapping).collect()}
+    assert got == {1: {"parentId": "a"}, 2: {"parentId": "b"}, 3: {"parentId": "LEFT", "parent_id": "RIGHT"}, 4: {"parent_id": "q"}}
+
+
+def test_unrelated_members_are_no_renaming(spark):
+    """Same type, parent and count are no evidence; shared values are, and names of one record are none."""
+    line = lambda name, values, **more: [json.dumps({"type": "m", name: v, **more}) for v in values]
+    versions = {
+        "a": [line("cwd", ["/x", "/y"]), line("model", ["m1", "m2"])],
+        "b": [line("timestamp", ["2025", "2026"]), line("parentSession", ["p", "q"])],
+        "c": [line("provider", ["u", "v"]), line("version", ["1", "2"])],
+        "d": [line("cwd", [f"/w{i}" for i in range(9)]), line("folder", [f"/w{i}" for i in range(9)])],
+        "e": [line("sessionId", ["1"]), line("session_id", ["2"]), line("sessionId", ["3"], session_id="4")],
+    }
+    rows, files, k = [], [], 0
+    for producer, seqs in versions.items():
+        for seq, lines in enumerate(seqs):
+            k += 1
+            files.append((k, producer, seq))
+            rows += [(k, n, t) for n, t in enumerate(lines)]
+    found = drift.changes(drift.profiles(*tables(spark, rows, files))).where("renamed is not null and change = 'added'").collect()
+    assert {(r.producer, r.renamed, r.field_path) for r in found} == {("d", "cwd", "folder")}
 
 
 def test_empty_tables(spark):
     recs, files = tables(spark, [], [])
     prof = drift.profiles(recs, files)
-    assert drift.changes(prof).collect() == [] and drift.unify(recs, drift.renames(drift.changes(prof))).collect() == []
+    assert drift.changes(prof).collect() == [] and drift.unify(recs, files, drift.renames(drift.changes(prof))).collect() == []
 
 
 def test_lines_that_are_no_objects():

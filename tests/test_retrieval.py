@@ -146,10 +146,16 @@ def test_generations_locks_and_ignore_list(spark, tmp_path):
 
 
 def test_vector_reuse_and_replacement(spark):
-    want = spark.createDataFrame([("1", "c", "s", "t"), ("2", "c2", "s", "t"), ("3", "c3", "s", "u"), ("4", "c4", "s", "u")], "id string, checksum string, session string, text string")
-    cur = spark.createDataFrame([("1", "c", [1.0])], "id string, checksum string, vector array<double>")
-    old = spark.createDataFrame([("1", "c", [2.0]), ("2", "c2", [3.0])], "id string, checksum string, vector array<double>")
-    got = {r.id: (r.source, r.vector) for r in maintenance.reuse_vectors(want, cur, old).collect()}
-    assert got == {"1": ("current", [1.0]), "2": ("legacy", [3.0]), "3": ("embed", None), "4": ("copy", None)}
+    rows = [("1", "c", "s"), ("2", "c", "s"), ("3", "d", "s"), ("4", "d", "s"), ("5", "e", "s"), ("6", "e", "s"), ("7", "c", "u"), ("8", "f", None), ("9", "f", None), ("a", "g", "s"), ("b", "g", "s")]
+    want = spark.createDataFrame(rows, "id string, checksum string, session string")
+    cur = spark.createDataFrame([("1", "c", [1.0]), ("3", "old", [9.0]), ("b", "g", [7.0])], "id string, checksum string, vector array<double>")
+    old = spark.createDataFrame([("1", "c", [2.0]), ("4", "d", [3.0]), ("a", "g", [8.0])], "id string, checksum string, vector array<double>")
+    reused = maintenance.reuse_vectors(want, cur, old)
+    got = {r.id: (r.source, r.vector) for r in reused.collect()}
+    # an equal text of the session gives its vector, a current one before a legacy one; another session's does not
+    assert got == {"1": ("current", [1.0]), "2": ("copy", [1.0]), "3": ("copy", [3.0]), "4": ("legacy", [3.0]), "5": ("embed", None), "6": ("copy", None),
+                   "7": ("embed", None), "8": ("embed", None), "9": ("copy", None), "a": ("copy", [7.0]), "b": ("current", [7.0])}
+    made = spark.createDataFrame([(k, [float(i)]) for i, k in enumerate("578")], "id string, vector array<double>")
+    assert {r.id: r.vector for r in maintenance.fill_copies(reused, made).collect() if r.id in "56789"} == {"5": [0.0], "6": [0.0], "7": [1.0], "8": [2.0], "9": [2.0]}
     a = spark.createDataFrame([("p", 1), ("q", 2)], "session_path string, v int")
     assert sorted((r.session_path, r.v) for r in maintenance.replace_rows(a, a.where("v = 9"), a.where("session_path = 'p'")).collect()) == [("q", 2)]

@@ -118,7 +118,9 @@ def test_turns_fit_and_fail():
 def test_invocation_text_and_bounds(spark):
     args = {"path": "a/b", "newText": "zz", "queryText": "keep", "n": [1.0, 2.5, 1e21, 1e-7], "x": {"script": 1, "b": None}}
     lines = invocations.searchable_text("edit", args).split("\n")
-    assert lines == ["tool=edit", "newText=<omitted>", "x.script=<omitted>", "n[0]=1", "n[1]=2.5", "n[2]=1e+21", "n[3]=1e-7", 'path="a/b"', 'queryText="keep"', "x.b=null"]
+    assert lines == ['tool="edit"', "newText=<omitted>", "x.script=<omitted>", "n[0]=1", "n[1]=2.5", "n[2]=1e+21", "n[3]=1e-7", 'path="a/b"', 'queryText="keep"', "x.b=null"]
+    assert invocations.searchable_text("x" * 5000, None) == f'tool="{"x" * 1024}"'
+    assert invocations.searchable_text("t", [{"b": 1, "code": 2}, ["q"], "r"]).split("\n") == ['tool="t"', "[0].code=<omitted>", "[0].b=1", '[1][0]="q"', '[2]="r"']
     big = invocations.searchable_text("t", {f"k{i}": "v" * 1500 for i in range(7)})
     assert len(big) <= 4096 and big.count("\n") == 3
     records = [HEAD, msg("a", None, "assistant", [{"type": "toolCall", "id": "k", "name": "read", "arguments": {"path": "p"}}]), msg("r", "a", "toolResult", [], toolCallId="k", toolName="read", isError=True),
@@ -127,6 +129,43 @@ def test_invocation_text_and_bounds(spark):
     assert {(r.kind, r.tool_name, r.is_error) for r in got} == {("tool_call", "read", True), ("bash_execution", "bash", False)}
 
 
+V1 = {"message": {"role": "user", "content": "x", "timestamp": 1}}
+
+
+@pytest.mark.parametrize("entry,fits", [
+    ({"type": "message"} | V1, True), ({"type": "custom_message", "content": "x"}, False), ({"type": "session_info", "name": "x"}, False), ({"type": "branch_summary", "summary": "x"}, False),
+    ({"type": "message", "message": {"role": "anything", "content": "x", "timestamp": 1}}, False), ({"type": "message", "message": {"role": "user", "content": "x"}}, False),
+    ({"type": "message", "message": {"role": "user", "timestamp": 1}}, False), ({"type": "model_change", "provider": "p", "modelId": "m"}, True), ({"type": "model_change", "provider": "p"}, False),
+    ({"type": "thinking_level_change", "thinkingLevel": "low"}, True), ({"type": "thinking_level_change"}, False), ({"type": "message", "id": "i"} | V1, False),
+    ({"type": "message", "message": {"role": "assistant", "content": [], "api": "a", "provider": "p", "model": "m", "usage": {}, "stopReason": "s", "timestamp": 1}}, True),
+    ({"type": "message", "message": {"role": "assistant", "content": "text", "api": "a", "provider": "p", "model": "m", "usage": {}, "stopReason": "s", "timestamp": 1}}, False),
+    ({"type": "message", "message": {"role": "toolResult", "content": [], "toolCallId": "c", "toolName": "t", "isError": False, "timestamp": 1}}, True),
+    ({"type": "message", "message": {"role": "bashExecution", "command": "c", "output": "", "cancelled": False, "truncated": "no", "timestamp": 1}}, False),
+    ({"type": "compaction", "summary": "s", "firstKeptEntryIndex": 1.5, "tokensBefore": 1}, False), ({"type": "compaction", "summary": "s", "firstKeptEntryIndex": 2}, False),
+])
+def test_what_the_oldest_format_allows(entry, fits):
+    assert jsonl._is_linear_entry({"timestamp": "t"} | entry) is fits
+
+
+def test_graph_rows(spark):
+    recs = [HEAD, msg("a", None, "user", "x"), msg("b", "a", "assistant", "y"), msg("c", "b", "user", "z"), {"type": "compaction", "id": "k", "parentId": "c", "timestamp": "t", "summary": "s", "firstKeptEntryId": "b", "tokensBefore": 1},
+            msg("d", "b", "user", "w"), {"type": "leaf", "targetId": "k"}]
+    got = {r.entry_id: r for r in session_graph.project_graph(project(spark, file_of(recs), file_of([HEAD, msg("q", "gone", "user", "x")]))[0]).collect()}
+    assert got[None].error and {i for i, r in got.items() if r.is_visible} == {"b", "c", "k"} and {i for i, r in got.items() if r.is_active} == {"a", "b", "c", "k"}
+    assert got["a"].compacted_by == ["k"] and got["b"].compacted_by == [] and got["b"].leaf_ids == ["k", "d"] and got["b"].child_ids == ["c", "d"] and got["k"].depth == 3
+
+
+def test_long_linear_session_is_walked_once():
+    import time
+
+    n = 20_004
+    recs = [(0, HEAD)] + [(i, msg(f"e{i}", f"e{i - 1}" if i > 1 else None, "user", "x")) for i in range(1, n)]
+    recs += [(n + k, {"type": "compaction", "id": f"c{k}", "parentId": f"e{n - 1}", "timestamp": "t", "summary": "s", "firstKeptEntryId": f"e{n - 5}", "tokensBefore": 1}) for k in range(3)]
+    began = time.time()
+    g = session_graph.Graph(recs)
+    assert g.depth[f"e{n - 1}"] == n - 2 and len(g.compacted["e1"]) == 3 and time.time() - began < 10
+
+
 @pytest.mark.parametrize("remote,want", [
     ("git@Host.org:a/b.git", "git-origin:host.org/a/b"), ("https://u:p@host/a/B.git/", "git-origin:host/a/B"), ("https://host:443/a/b", "git-origin:host/a/b"), ("ssh://git@host:2222/a/b", "git-origin:host:2222/a/b"),
     ("https://host/a", None), ("ftp://host/a/b", None), ("https://host/a/../b", None), ("https://host/a/b?x=1", None), ("nothing", None), ("https://host:xx/a/b", None),
@@ -136,9 +175,14 @@ def test_remotes(remote, want):
 
 
 def test_source_scan_drops_files_with_bad_matches(spark):
-    lines = spark.createDataFrame([("a", 1, '{"type":"session","cwd":"/x"}'), ("a", 2, '{"t":"HIT"}'), ("b", 1, "hit {"), ("b", 2, '{"t":"hit"}'), ("c", 1, '{"t":"' + "y" * 3000 + ' hit"}')], "path string, line int, text string")
+    lines = spark.createDataFrame([
+        ("a", 1, '{"type":"session","cwd":"/x"}'), ("a", 2, '{"t":"HIT","id":"e"}'), ("a", 3, '{"type":"session"}'), ("a", 4, '["hit"]'),
+        ("b", 1, "hit {"), ("b", 2, '{"t":"hit"}'), ("c", 1, '{"t":"' + "y" * 3000 + ' hit' + "z" * 3000 + '"}'), ("d", 1, '{"t":"hit"}'), ("d", 2, 'no match but "session"'), ("e", 1, "broken {")], "path string, line int, text string")
     got = scan.source_search(lines, " Hit ", 10).collect()
-    assert [(r.path, r.line, r.origin) for r in got] == [("a", 2, "/x"), ("c", 1, None)] and got[1].excerpt.startswith("…") and len(got[1].excerpt) < 1200
+    # a header without cwd resets the origin, a possible header that is no JSON rejects the file
+    assert [(r.path, r.line, r.entry_id, r.origin) for r in got] == [("a", 2, "e", "/x"), ("a", 4, None, ""), ("c", 1, None, "")]
+    assert got[2].excerpt[0] == got[2].excerpt[-1] == "…" and len(got[2].excerpt) == 2000
+    assert {(r.path, r.line) for r in scan.source_failures(lines, "hit").collect()} == {("b", 1), ("d", 2)}
     with pytest.raises(ValueError):
         scan.source_search(lines, " ", 1)
 
