@@ -19,7 +19,7 @@ from ..functions.text import PY_WS
 
 _TOKEN = re.compile(f"[^{PY_WS}]+")
 _BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
-_SENTENCE_END = re.compile("[.!?…。！？][\"'’”)\\]»」』]*$")
+_SENTENCE_END = re.compile(f"[.!?…。！？][\"'’”)\\]»」』]*(?=[{PY_WS}])")
 _HEADING = re.compile("#{1,6}$")
 _FENCE = re.compile("(```|~~~)")
 #: Kinds of cuts, the most natural first.
@@ -35,8 +35,8 @@ def boundary_kinds(text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
         return kinds
     breaks = np.array([m.start() for m in _BREAK.finditer(text)], np.int64)
     lines = np.searchsorted(breaks, starts[1:]) - np.searchsorted(breaks, ends[:-1])
-    for p in np.flatnonzero([bool(_SENTENCE_END.search(text[max(s, e - 12):e])) for s, e in zip(starts[:-1].tolist(), ends[:-1].tolist())]):
-        kinds[p + 1] = KINDS.index("sentence")
+    stops = np.array([m.end() for m in _SENTENCE_END.finditer(text)], np.int64)
+    kinds[1:n][np.isin(ends[:-1], stops)] = KINDS.index("sentence")
     kinds[1:n][lines >= 1] = KINDS.index("line")
     heads = np.concatenate([[0], np.flatnonzero(lines >= 1) + 1])
     inside = False

@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import WS_CLASS
-from ..runtime import materialize
+from ..runtime import materialize, small_side
 
 #: Occurrences that let an n-gram decide, and the largest share of final ones among them for a cut.
 SUPPORT = 15
@@ -28,7 +28,8 @@ CLEARING = 3
 
 # One token: letters and digits joined by - _ . / inside, an ellipsis of dots, or any other visible character.
 _TOKEN = r"[\p{L}\p{N}]+(?:[-_./]+[\p{L}\p{N}]+)*|\.\.\.|[^WS\p{L}\p{N}]".replace("WS", WS_CLASS)
-_BREAK = r"\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]"
+# One line break with all white space around it, blank lines included; the run is tried once, at its start.
+_BREAK = r"(?<![WS])[WS]*[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}][WS]*".replace("WS", WS_CLASS)
 
 # Expressions over a token t.
 _NORM = r"""CASE WHEN t RLIKE r'^\p{Ll}+$' THEN t
@@ -39,44 +40,47 @@ _NORM = r"""CASE WHEN t RLIKE r'^\p{Ll}+$' THEN t
   WHEN t RLIKE r'^\p{Ll}+\p{Lu}' THEN '<camel>'
   WHEN t RLIKE r'^\p{Lu}[\p{Lu}\p{N}]+$' THEN '<code>'
   ELSE lower(t) END"""
-_SHAPE = r"""CASE WHEN n LIKE '<_%' OR n = '0' OR NOT n RLIKE r'^\p{L}' THEN n WHEN t RLIKE r'^\p{Lu}' THEN '<W>' ELSE '<w>' END"""
-# The spelling that can be cut inside: not of CJK runs, and not with a digit at its end, which might begin another number.
-_STEM = r"""CASE WHEN t RLIKE r'\p{L}$' AND n <> '<cjk>' THEN lower(t) END"""
 
 
-def _over(expression: str, t: str, n: str) -> str:
-    """An expression over t and n, with other names for the two."""
-    return expression.replace(" n ", f" {n} ").replace("WHEN n", f"WHEN {n}").replace("THEN n", f"THEN {n}").replace("WHEN t", f"WHEN {t}").replace("lower(t)", f"lower({t})")
+def _shape(t: str, n: str) -> str:
+    """The shape of a token t with class n; the first test spares most tokens the patterns."""
+    return (f"CASE WHEN {n} = {t} AND ascii({n}) BETWEEN 97 AND 122 THEN '<w>' WHEN ascii({n}) = 60 OR {n} = '0' OR NOT {n} RLIKE r'^\\p{{L}}' THEN {n} "
+            f"WHEN {t} RLIKE r'^\\p{{Lu}}' THEN '<W>' ELSE '<w>' END")
+
+
+def _stem(t: str, n: str) -> str:
+    """The spelling that can be cut inside: not of CJK runs, and not with a digit at its end, which might begin another number."""
+    return f"CASE WHEN {n} = {t} AND ascii({n}) BETWEEN 97 AND 122 THEN {t} WHEN {t} RLIKE r'\\p{{L}}$' AND {n} <> '<cjk>' THEN lower({t}) END"
 
 
 _LINES = f"""
 WITH split AS (
-  SELECT doc_id, source, counted, filter(split(text, r'{_BREAK}'), l -> l RLIKE r'[^{WS_CLASS}]') AS ls FROM {{docs}}),
+  SELECT doc_id, source, counted, filter(split(text, r'{_BREAK}'), l -> l <> '') AS ls FROM {{docs}}),
 line AS (
   SELECT doc_id, source, counted, @fence AS open_fence, regexp_extract_all(l, r'{_TOKEN}', 0) AS raw FROM split LATERAL VIEW explode(@lines) x AS l),
 bare AS (
   SELECT doc_id, source, counted, open_fence,
     CASE WHEN size(raw) > 1 AND try_element_at(raw, -1) IN ('…', '...') THEN slice(raw, 1, size(raw) - 1) ELSE raw END AS ts FROM line),
 normed AS (SELECT *, transform(ts, t -> {_NORM}) AS ns FROM bare WHERE size(ts) > 0),
-shaped AS (SELECT *, transform(arrays_zip(ts, ns), z -> {_over(_SHAPE, 'z.ts', 'z.ns')}) AS ss FROM normed)
+shaped AS (SELECT *, transform(arrays_zip(ts, ns), z -> {_shape('z.ts', 'z.ns')}) AS ss FROM normed)
 SELECT doc_id, source, counted, open_fence, ts, ns, ss,
   CASE WHEN ss[0] = '<w>' THEN ns[0] WHEN ss[0] = '<path>' AND get(ns, 1) = ':' THEN '<path>:' ELSE ss[0] END AS kind FROM shaped
 """
 # Every line of every text for the counts; the last line alone for the finals.
 _EVERY = _LINES.replace("@fence", "false").replace("@lines", "ls")
-_LAST = _LINES.replace("@fence", "size(filter(ls, l -> trim(l) LIKE '```%')) % 2 = 1").replace("@lines", "slice(ls, -1, 1)")
+_LAST = _LINES.replace("@fence", "size(filter(ls, l -> startswith(ltrim(l), '```'))) % 2 = 1").replace("@lines", "slice(ls, -1, 1)")
 
 _GRAMS = f"""
 SELECT kind, t2, t1, t, shape, stem, count_if(NOT final) AS inside, count_if(final) AS ends FROM (
   SELECT kind, coalesce(get(ns, i - 2), '^') AS t2, coalesce(get(ns, i - 1), '^') AS t1, ns[i] AS t, ss[i] AS shape,
-    {_over(_STEM, 'ts[i]', 'ns[i]')} AS stem, i = size(ns) - 1 AS final
+    {_stem('ts[i]', 'ns[i]')} AS stem, i = size(ns) - 1 AS final
   FROM (SELECT *, explode(sequence(0, size(ns) - 1)) AS i FROM {{lines}}))
 GROUP BY ALL
 """
 
 _FINALS = f"""
 SELECT doc_id, source, counted, open_fence, kind, coalesce(get(ns, size(ns) - 3), '^') AS t2, coalesce(get(ns, size(ns) - 2), '^') AS t1, t, shape,
-  {_over(_STEM, 'last', 't')} AS stem, last = '\\ufffd' AS broken
+  {_stem('last', 't')} AS stem, last = '\\ufffd' AS broken
 FROM (SELECT *, try_element_at(ns, -1) AS t, try_element_at(ss, -1) AS shape, try_element_at(ts, -1) AS last FROM {{lines}})
 """
 
@@ -163,8 +167,9 @@ def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
     for its ending, but each is judged. Words of any length take part.
     """
     rows = docs.selectExpr("doc_id", "text", "source").where(f"text RLIKE r'[^{WS_CLASS}]'")
-    once = _sql(spark, "SELECT min(doc_id) AS doc_id, true AS counted FROM {docs} GROUP BY xxhash64(text), length(text)", docs=rows)
-    marked = _sql(spark, "SELECT d.*, coalesce(o.counted, false) AS counted FROM {docs} d LEFT JOIN {once} o ON d.doc_id = o.doc_id", docs=rows, once=once)
+    known, _ = materialize(spark, rows.selectExpr("doc_id", "xxhash64(text) AS h", "length(text) AS n"), "truncation-hashes")
+    again = _sql(spark, "SELECT k.doc_id FROM {k} k JOIN (SELECT h, n, min(doc_id) AS first FROM {k} GROUP BY h, n HAVING count(*) > 1) f ON k.h = f.h AND k.n = f.n WHERE k.doc_id <> f.first", k=known)
+    marked = _sql(spark, "SELECT d.*, a.doc_id IS NULL AS counted FROM {docs} d LEFT JOIN {again} a ON d.doc_id = a.doc_id", docs=rows, again=small_side(spark, again, "truncation-copies"))
     grams, _ = materialize(spark, _sql(spark, _GRAMS, lines=_sql(spark, _EVERY, docs=marked.where("counted"))), "truncation-grams")
     finals, _ = materialize(spark, _sql(spark, _FINALS, lines=_sql(spark, _LAST, docs=marked)), "truncation-finals")
     judged = _sql(spark, _judged(), finals=finals, grams=grams)
