@@ -28,8 +28,8 @@ CLEARING = 3
 
 # One token: letters and digits joined by - _ . / inside, an ellipsis of dots, or any other visible character.
 _TOKEN = r"[\p{L}\p{N}]+(?:[-_./]+[\p{L}\p{N}]+)*|\.\.\.|[^WS\p{L}\p{N}]".replace("WS", WS_CLASS)
-# One line break with all white space around it, blank lines included; the run is tried once, at its start.
-_BREAK = r"(?<![WS])[WS]*[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}][WS]*".replace("WS", WS_CLASS)
+_BREAKS = r"[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]+"
+_VISIBLE = f"ascii(l) BETWEEN 33 AND 126 OR l RLIKE r'[^{WS_CLASS}]'"
 
 # Expressions over a token t.
 _NORM = r"""CASE WHEN t RLIKE r'^\p{Ll}+$' THEN t
@@ -53,18 +53,18 @@ def _stem(t: str, n: str) -> str:
     return f"CASE WHEN {n} = {t} AND ascii({n}) BETWEEN 97 AND 122 THEN {t} WHEN {t} RLIKE r'\\p{{L}}$' AND {n} <> '<cjk>' THEN lower({t}) END"
 
 
+# The views are outer ones: the filters that the optimizer derives from inner ones would repeat the expressions below them.
 _LINES = f"""
-WITH split AS (
-  SELECT doc_id, source, counted, filter(split(text, r'{_BREAK}'), l -> l <> '') AS ls FROM {{docs}}),
+WITH split AS (SELECT doc_id, source, counted, filter(split(text, r'{_BREAKS}'), l -> {_VISIBLE}) AS ls FROM {{docs}}),
 line AS (
-  SELECT doc_id, source, counted, @fence AS open_fence, regexp_extract_all(l, r'{_TOKEN}', 0) AS raw FROM split LATERAL VIEW explode(@lines) x AS l),
+  SELECT doc_id, source, counted, @fence AS open_fence, regexp_extract_all(l, r'{_TOKEN}', 0) AS raw FROM split LATERAL VIEW OUTER explode(@lines) x AS l),
 bare AS (
   SELECT doc_id, source, counted, open_fence,
     CASE WHEN size(raw) > 1 AND try_element_at(raw, -1) IN ('…', '...') THEN slice(raw, 1, size(raw) - 1) ELSE raw END AS ts FROM line),
-normed AS (SELECT *, transform(ts, t -> {_NORM}) AS ns FROM bare WHERE size(ts) > 0),
+normed AS (SELECT *, transform(ts, t -> {_NORM}) AS ns FROM bare),
 shaped AS (SELECT *, transform(arrays_zip(ts, ns), z -> {_shape('z.ts', 'z.ns')}) AS ss FROM normed)
 SELECT doc_id, source, counted, open_fence, ts, ns, ss,
-  CASE WHEN ss[0] = '<w>' THEN ns[0] WHEN ss[0] = '<path>' AND get(ns, 1) = ':' THEN '<path>:' ELSE ss[0] END AS kind FROM shaped
+  CASE WHEN get(ss, 0) = '<w>' THEN get(ns, 0) WHEN get(ss, 0) = '<path>' AND get(ns, 1) = ':' THEN '<path>:' ELSE get(ss, 0) END AS kind FROM shaped
 """
 # Every line of every text for the counts; the last line alone for the finals.
 _EVERY = _LINES.replace("@fence", "false").replace("@lines", "ls")
@@ -74,7 +74,7 @@ _GRAMS = f"""
 SELECT kind, t2, t1, t, shape, stem, count_if(NOT final) AS inside, count_if(final) AS ends FROM (
   SELECT kind, coalesce(get(ns, i - 2), '^') AS t2, coalesce(get(ns, i - 1), '^') AS t1, ns[i] AS t, ss[i] AS shape,
     {_stem('ts[i]', 'ns[i]')} AS stem, i = size(ns) - 1 AS final
-  FROM (SELECT *, explode(sequence(0, size(ns) - 1)) AS i FROM {{lines}}))
+  FROM (SELECT *, explode_outer(CASE WHEN size(ns) > 0 THEN sequence(0, size(ns) - 1) END) AS i FROM {{lines}}) WHERE i IS NOT NULL)
 GROUP BY ALL
 """
 
