@@ -64,8 +64,8 @@ def apply_lineage(origins: DataFrame, lineage: DataFrame) -> DataFrame:
 def evidence_relation(own: Column, other: Column, own_source: Column, other_source: Column) -> Column:
     """How a result's project relates to the search's: the label shown beside evidence."""
     return (
-        F.when(own.isNull() | other.isNull() | (own != other), "unrestricted_global")
-        .when((own_source == "lineage") | (other_source == "lineage"), "configured_lineage")
+        F.when(own.isNull() | other.isNull() | (own != other), "unrestricted_global_evidence")
+        .when((own_source == "configured_project_lineage") | (other_source == "configured_project_lineage"), "configured_project_lineage")
         .when(own.startswith("non-git-session-origin:"), "same_session_origin")
         .otherwise("same_repository")
     )

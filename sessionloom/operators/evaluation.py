@@ -51,3 +51,21 @@ def select_policy(measured: DataFrame, gate: dict[str, float]) -> DataFrame:
     order = W.orderBy(F.col("failures"), F.col("candidate_recall").desc(), F.col("final_recall").desc(), "p95_ms", "chunks", "index_ms", "max_tokens", "name")
     # one row per configuration: a handful, so a single ordered window is right
     return measured.withColumn("failures", failures).withColumn("passed", F.col("failures") == 0).withColumn("preference", F.row_number().over(order))
+
+
+def channel_proof(scoped: DataFrame, unscoped: DataFrame, expected: DataFrame, polluting: DataFrame, required: DataFrame) -> DataFrame:
+    """Per query and required channel: whether the scope acts before the channel's limit, not after it.
+
+    ``scoped`` and ``unscoped``: query_id, channel, id of candidates; ``expected`` and ``polluting``: query_id, id;
+    ``required``: query_id, channel, least_polluting. A channel passes if it admits every expected id within the
+    scope, none without it, and at least ``least_polluting`` polluting candidates take their places there.
+    """
+    want = required.join(expected.distinct(), "query_id", "left")
+    hit = lambda df, name: df.select("query_id", "channel", "id").distinct().withColumn(name, F.lit(True))
+    seen = want.join(hit(scoped, "inside"), ["query_id", "channel", "id"], "left").join(hit(unscoped, "outside"), ["query_id", "channel", "id"], "left")
+    known = F.col("id").isNotNull()
+    per = seen.groupBy("query_id", "channel", "least_polluting").agg(
+        (F.count_if(known & F.col("inside").isNull()) == 0).alias("admitted"), (F.count_if(known & F.col("outside").isNotNull()) == 0).alias("displaced"))
+    spoilt = unscoped.join(polluting.distinct(), ["query_id", "id"], "left_semi").groupBy("query_id", "channel").agg(F.count("*").alias("polluting"))
+    out = per.join(spoilt, ["query_id", "channel"], "left").withColumn("polluting", F.coalesce("polluting", F.lit(0).cast("long")))
+    return out.withColumn("passed", F.col("admitted") & F.col("displaced") & (F.col("polluting") >= F.col("least_polluting"))).select("query_id", "channel", "admitted", "displaced", "polluting", "passed")

@@ -6,12 +6,13 @@ import contextlib
 import hashlib
 import json
 import os
-import shutil
+import posixpath
+import socket
 import time
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,104 +90,198 @@ def manifest_differences(actual: dict, expected: dict, prefix: str = "") -> list
     return out
 
 
-def write_json(path: Path, value: dict) -> None:
-    """Write beside the target and rename over it."""
-    temp = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
-    temp.write_text(json.dumps(value, sort_keys=True))
-    os.replace(temp, path)
+class Shared:
+    """Small files on whatever file system a folder lies on, through Hadoop's interface."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self._jvm = spark, root.rstrip("/"), spark._jvm
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.root).getFileSystem(self._conf)
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(name)
+
+    def at(self, *names: str) -> str:
+        return "/".join([self.root, *names])
+
+    def make(self, path: str) -> None:
+        self._fs.mkdirs(self._path(path))
+
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
+    def names(self) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))) if self.exists(self.root) else []
+
+    def delete(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
+    def rename(self, old: str, new: str) -> None:
+        if not self._fs.rename(self._path(old), self._path(new)):
+            raise RuntimeError(f"cannot rename {old} to {new}")
+
+    def read(self, path: str) -> str:
+        stream = self._fs.open(self._path(path))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def create(self, path: str, text: str) -> bool:
+        """Write a new file; False if there is one."""
+        try:
+            out = self._fs.create(self._path(path), False)
+        except Py4JJavaError:
+            if self.exists(path):
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
+    def replace(self, path: str, text: str) -> None:
+        """Write beside the target and rename over it in one step."""
+        folder, name = posixpath.split(path)
+        temp = f"{folder}/.{name}.{uuid.uuid4().hex}"
+        self.create(temp, text)
+        kind = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        whole = self._fs.makeQualified(self._path(temp))
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole.toUri(), self._conf).rename(whole, self._fs.makeQualified(self._path(path)), options)
+
+    def size(self) -> dict[str, int]:
+        """Bytes and files below the folder."""
+        if not self.exists(self.root):
+            return {"bytes": 0, "files": 0}
+        found = self._fs.getContentSummary(self._path(self.root))
+        return {"bytes": found.getLength(), "files": found.getFileCount()}
 
 
 class Generations:
-    """Immutable generations of Parquet tables under one root with an atomically replaced pointer."""
+    """Immutable generations of Parquet tables under one shared folder; a pointer file, replaced in one step, names the active one."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
-        self.root.mkdir(parents=True, exist_ok=True)
+        self.spark, self.files = spark, Shared(spark, root)
+        self.files.make(self.files.root)
 
-    def create(self) -> Path:
+    def create(self) -> str:
         """A fresh candidate; earlier candidates are dropped."""
-        for old in self.root.glob("candidate-*"):
-            shutil.rmtree(old)
-        path = self.root / f"candidate-{uuid.uuid4().hex}"
-        path.mkdir()
+        for old in self.files.names():
+            if old.startswith("candidate-"):
+                self.files.delete(self.files.at(old))
+        path = self.files.at(f"candidate-{uuid.uuid4().hex}")
+        self.files.make(path)
         return path
 
-    def resume(self) -> Path:
-        found = list(self.root.glob("candidate-*"))
+    def resume(self) -> str:
+        found = [n for n in self.files.names() if n.startswith("candidate-")]
         if len(found) != 1:
             raise RuntimeError(f"expected one candidate, found {len(found)}")
-        return found[0]
+        return self.files.at(found[0])
 
-    def write(self, candidate: Path, tables: dict[str, DataFrame], manifest: dict) -> None:
+    def write(self, candidate: str, tables: dict[str, DataFrame], manifest: dict) -> None:
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(str(candidate / name))
-        write_json(candidate / "manifest.json", manifest)
+            df.write.mode("overwrite").parquet(f"{candidate}/{name}")
+        self.files.replace(f"{candidate}/manifest.json", json.dumps(manifest, sort_keys=True))
 
-    def stage(self, candidate: Path) -> Path:
-        target = self.root / candidate.name.replace("candidate-", "generation-")
-        os.rename(candidate, target)
+    def stage(self, candidate: str) -> str:
+        target = self.files.at(posixpath.basename(candidate).replace("candidate-", "generation-"))
+        self.files.rename(candidate, target)
         return target
 
-    def activate(self, generation: Path) -> None:
-        if generation.resolve().parent != self.root.resolve() or not (generation / "manifest.json").exists():
+    def activate(self, generation: str) -> None:
+        folder, name = posixpath.split(generation.rstrip("/"))
+        if folder != self.files.root or not name.startswith("generation-") or not self.files.exists(f"{generation}/manifest.json"):
             raise ValueError("not a complete generation of this root")
-        link = self.root / f".active-{uuid.uuid4().hex}"
-        os.symlink(generation.name, link)
-        os.replace(link, self.root / "active")
+        self.files.replace(self.files.at("active"), name)
+
+    def has_active(self) -> bool:
+        return self.files.exists(self.files.at("active"))
 
-    def active(self, expected: dict | None = None) -> Path:
-        path = (self.root / "active").resolve(strict=True)
-        if expected and (bad := manifest_differences(json.loads((path / "manifest.json").read_text()), expected)):
+    def active(self, expected: dict | None = None) -> str:
+        """Folder of the active generation; one that was built otherwise than ``expected`` must be rebuilt."""
+        path = self.files.at(self.files.read(self.files.at("active")).strip())
+        if expected and (bad := manifest_differences(json.loads(self.files.read(f"{path}/manifest.json")), expected)):
             raise RuntimeError(f"index differs from the configuration, rebuild: {', '.join(bad)}")
         return path
 
-    def read(self, name: str, generation: Path | None = None) -> DataFrame:
-        return self.spark.read.parquet(str((generation or self.active()) / name))
+    def read(self, name: str, generation: str | None = None) -> DataFrame:
+        return self.spark.read.parquet(f"{generation or self.active()}/{name}")
+
+    def lookup(self, name: str, ids: DataFrame, key: str = "id") -> DataFrame:
+        """Rows of a table by a list of ids; absent ids give nothing."""
+        return self.read(name).join(ids.select(F.col(ids.columns[0]).alias(key)).distinct(), key, "left_semi")
+
+    def export(self, session_path: str) -> dict[str, DataFrame]:
+        """Every table's rows of one session file."""
+        at = self.active()
+        tables = {n: self.read(n, at) for n in Shared(self.spark, at).names() if n != "manifest.json"}
+        return {n: df.where(F.col("session_path" if "session_path" in df.columns else "path") == session_path) for n, df in tables.items()}
+
+
+def _abandoned(owner: str) -> bool:
+    """Whether the process that a lock names has ended on this host."""
+    host, _, pid = owner.partition(" ")
+    if host != socket.gethostname() or not pid.isdigit():
+        return False
+    try:
+        os.kill(int(pid), 0)
+    except ProcessLookupError:
+        return True
+    except PermissionError:
+        pass
+    return False
 
 
 @contextlib.contextmanager
-def exclusive_lock(root: str, wait_seconds: float = 0.0, poll: float = 0.25) -> Iterator[None]:
-    """A lock directory with its owner's pid; a dead owner's lock is taken over."""
-    path, end = Path(root) / ".lock", time.monotonic() + wait_seconds
-    while True:
-        try:
-            path.mkdir(parents=True)
-            (path / "pid").write_text(str(os.getpid()))
-            break
-        except FileExistsError:
-            with contextlib.suppress(OSError, ValueError):
-                owner = int((path / "pid").read_text())
-                try:
-                    os.kill(owner, 0)
-                except ProcessLookupError:
-                    shutil.rmtree(path, ignore_errors=True)
-                    continue
-            if time.monotonic() >= end:
-                raise TimeoutError("the index is being changed") from None
+def exclusive_lock(spark: SparkSession, root: str, wait_seconds: float = 0.0, poll: float = 0.25) -> Iterator[None]:
+    """A lock file with its owner; one whose owner has ended, or that stays unreadable for four polls, is taken over."""
+    files = Shared(spark, root)
+    files.make(files.root)
+    path, end, unreadable = files.at(".lock"), time.monotonic() + wait_seconds, 0
+    while not files.create(path, f"{socket.gethostname()} {os.getpid()}"):
+        owner = ""
+        with contextlib.suppress(Py4JJavaError):
+            owner = files.read(path).strip()
+        unreadable = 0 if owner else unreadable + 1
+        if unreadable >= 4 or owner and _abandoned(owner):
+            files.delete(path)
+        elif owner and time.monotonic() >= end:
+            raise TimeoutError("the index is being changed")
+        else:
             time.sleep(poll)
     try:
         yield
     finally:
-        shutil.rmtree(path, ignore_errors=True)
+        files.delete(path)
+
+
+def locked(spark: SparkSession, root: str) -> bool:
+    """Whether somebody who is still there changes the index; searches refuse meanwhile."""
+    files = Shared(spark, root)
+    return files.exists(files.at(".lock")) and not _abandoned(files.read(files.at(".lock")).strip())
 
 
 class IgnoreList:
-    """Sorted, unique absolute paths of session files to leave out."""
+    """Sorted, unique absolute paths of session files to leave out; changes hold the store's lock."""
 
-    def __init__(self, path: str):
-        self.path = Path(path)
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.files = spark, Shared(spark, root)
 
     def paths(self) -> list[str]:
-        return json.loads(self.path.read_text())["paths"] if self.path.exists() else []
+        path = self.files.at("ignore.json")
+        return json.loads(self.files.read(path))["paths"] if self.files.exists(path) else []
 
     def change(self, add: list[str] = (), remove: list[str] = ()) -> list[str]:
         full = lambda ps: {os.path.abspath(p) for p in ps}
-        now = sorted((set(self.paths()) | full(add)) - full(remove))
-        write_json(self.path, {"version": 1, "paths": now})
+        with exclusive_lock(self.spark, self.files.root):
+            now = sorted((set(self.paths()) | full(add)) - full(remove))
+            self.files.replace(self.files.at("ignore.json"), json.dumps({"version": 1, "paths": now}))
         return now
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(p,) for p in self.paths()], "path string")
+    def frame(self) -> DataFrame:
+        return self.spark.createDataFrame([(p,) for p in self.paths()], "path string")
 
 
 def digest(value: object) -> str:

@@ -30,3 +30,20 @@ def search(spark: SparkSession, documents: DataFrame, stored: DataFrame, invocat
     shown = ranking.neighbour_context(ranked.drop("place"), documents).join(documents.select("id", "content"), "id").withColumn("kind", F.lit("conversation")).select("kind", "id", "ranking_score", "content", "context", "occurrences")
     call_text = invocations.select(F.lit("invocation").alias("kind"), F.col("invocation_id").cast("string").alias("id"), F.lit(None).cast("double").alias("ranking_score"), F.col("text").alias("content"), F.lit(None).cast("string").alias("context"), F.lit(None).cast("array<string>").alias("occurrences"))
     return mixed.join(shown.unionByName(call_text), ["kind", "id"], "left").select("place", "kind", "id", "ranking_score", "content", "context", "occurrences").orderBy("place")
+
+
+def details(found: DataFrame, documents: DataFrame, invocations: DataFrame, project: str | None = None, source: str | None = None) -> DataFrame:
+    """``found`` of ``search`` with where each result stands in its file and how its project relates to the search's.
+
+    Adds session_path, entry_id, line_start, line_end, role, document_kind, is_active, is_error and relation; the
+    tables need project_identity and identity_source beside them.
+    """
+    from ..functions.identity import evidence_relation
+
+    text = lambda *names: [F.col(n).cast("string").alias(n) for n in names]
+    docs = documents.select(F.lit("conversation").alias("kind"), "id", *text("session_path", "entry_id"), "line_start", "line_end", *text("role", "document_kind"), "is_active", F.lit(None).cast("boolean").alias("is_error"), *text("project_identity", "identity_source"))
+    calls = invocations.select(
+        F.lit("invocation").alias("kind"), F.col("invocation_id").cast("string").alias("id"), *text("session_path", "entry_id"), F.col("line").alias("line_start"), F.col("line").alias("line_end"), F.col("tool_name").alias("role"),
+        F.lit("invocation").alias("document_kind"), F.lit(None).cast("boolean").alias("is_active"), "is_error", *text("project_identity", "identity_source"))
+    relation = evidence_relation(F.lit(project).cast("string"), F.col("project_identity"), F.lit(source).cast("string"), F.col("identity_source"))
+    return found.join(docs.unionByName(calls), ["kind", "id"], "left").withColumn("relation", relation).drop("project_identity", "identity_source").orderBy("place")

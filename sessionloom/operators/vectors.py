@@ -6,12 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 BUCKETS = 16
 BLOCK = 2048
+#: Query blocks up to this number of bytes are broadcast; more are spread over this number of replicas of the other side.
+BROADCAST_BYTES, REPLICAS = 64 << 20, 32
 
 
 def stored_vector(vector: Column, width: int) -> Column:
@@ -40,13 +45,31 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding", where: Column | None = None) -> DataFrame:
-    """The k nearest rows to one query, ordered by (distance, id). The scope predicate lies below the limit."""
+    """(id, distance) of the k nearest rows to one query, ordered by (distance, id); the scope lies below the limit.
+
+    Each Arrow batch is one product and sends on its k best. Vectors of another width, without length, or
+    with null or not-a-number parts have no distance and are left out, as is everything for such a query.
+    """
     if not 1 <= k <= 200:
         raise ValueError("k must lie in 1..200")
+    q = np.asarray(query, np.float64)
+    norm = float(np.linalg.norm(q))
     scoped = vectors if where is None else vectors.where(where)
-    q = F.array(*[F.lit(float(x)) for x in query])
-    found = scoped.withColumn("distance", cosine_distance(F.col(vector_col), q)).where("distance is not null").select(id_col, "distance")
-    return found.orderBy("distance", id_col).limit(k)
+    rows = scoped.select(F.col(id_col), F.col(vector_col).cast("array<double>").alias("v")).where(F.size("v") == len(query))
+    unit = q / norm if norm else np.full(len(q), np.nan)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), len(unit))
+            with np.errstate(all="ignore"):
+                d = 1.0 - (m @ unit) / np.sqrt(np.einsum("ij,ij->i", m, m))
+            fine = np.flatnonzero(~np.isnan(d))
+            if len(fine) > k:  # ties of the k-th stay in
+                fine = fine[d[fine] <= np.partition(d[fine], k - 1)[k - 1]]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(fine)), pa.array(d[fine])], [id_col, "distance"])
+
+    kind = scoped.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(best, f"`{id_col}` {kind}, distance double").orderBy("distance", id_col).limit(k)
 
 
 def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,9 +114,16 @@ def nearest_batch(queries: DataFrame, vectors: DataFrame, k: int, id_col: str =
                 row, col = np.nonzero(d <= cut[:, None] + 1e-9)
                 yield pd.DataFrame({"query_id": own[row], "id": ids[col], "distance": d[row, col]})
 
-    q = packed(queries).select(F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"))
+    spark = queries.sparkSession
+    q, _ = materialize(spark, packed(queries).select(F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data")), "query-blocks")
+    size = q.agg(F.coalesce(F.sum(F.length("q_data")), F.lit(0))).first()[0]
     # blocks of a stated query set against blocks of all rows
-    pairs = packed(vectors).join(q, F.col("width") == F.col("q_width")).drop("q_width")
+    if size <= BROADCAST_BYTES:
+        pairs = packed(vectors).join(F.broadcast(q), F.col("width") == F.col("q_width")).drop("q_width")
+    else:  # every query block goes once to each replica, every other block to one of them, so no key holds a side
+        spread = packed(vectors).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(REPLICAS)))
+        copies = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(REPLICAS - 1).cast("long"))))
+        pairs = spread.join(copies, (F.col("width") == F.col("q_width")) & (spread["part"] == copies["part"])).select("ids", "width", "data", "q_ids", "q_data")
     near = pairs.mapInPandas(products, "query_id long, id long, distance double")
     w = W.partitionBy("query_id").orderBy("distance", "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")

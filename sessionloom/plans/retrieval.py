@@ -78,7 +78,7 @@ _TOK_SQL = "regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+')"
 _CALLS_SQL = "(SELECT call_key, tool_name, call_arguments, session_key FROM tool_calls QUALIFY row_number() OVER (PARTITION BY call_key ORDER BY ingested_at DESC) = 1)"
 
 
-def _calls(spark: SparkSession, d: str) -> DataFrame:
+def invocation_rows(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.records import current_rows
 
     return current_rows(_t(spark, d, "tool_calls").select("call_key", "tool_name", "call_arguments", "session_key", "tool_call_id", "entry_id", "ingested_at"), "call_key")
@@ -89,10 +89,10 @@ def _calls(spark: SparkSession, d: str) -> DataFrame:
   UNION ALL SELECT call_key, 1, unnest(t), generate_subscripts(t, 1) FROM (SELECT call_key, {_TOK_SQL.format(c='call_arguments')} AS t FROM {_CALLS_SQL}))""")
 def token_postings(spark: SparkSession, d: str) -> DataFrame:
     """The inverted index of all invocations."""
-    return lexical.postings(_calls(spark, d), "call_key", ["tool_name", "call_arguments"])
+    return lexical.postings(invocation_rows(spark, d), "call_key", ["tool_name", "call_arguments"])
 
 
-_BM25 = f"""WITH c AS {_CALLS_SQL},
+BM25_SQL = f"""WITH c AS {_CALLS_SQL},
 a AS (SELECT call_key, ' ' || array_to_string({_TOK_SQL.format(c='tool_name')}, ' ') || ' ' AS s0, ' ' || array_to_string({_TOK_SQL.format(c='call_arguments')}, ' ') || ' ' AS s1,
   len({_TOK_SQL.format(c='tool_name')}) + len({_TOK_SQL.format(c='call_arguments')}) AS n FROM c),
 h AS (SELECT *, len(regexp_extract_all(replace(s0, ' ', '  '), ' command  rg ')) + len(regexp_extract_all(replace(s1, ' ', '  '), ' command  rg ')) AS hits FROM a),
@@ -101,10 +101,10 @@ SELECT call_key, round(-greatest(ln((nd - nh + 0.5) / (nh + 0.5)), 1e-6) * hits
 ORDER BY -greatest(ln((nd - nh + 0.5) / (nh + 0.5)), 1e-6) * hits * 2.2 / (hits + 1.2 * (0.25 + 0.75 * n / (nt / nd))), call_key LIMIT 50"""
 
 
-@query(_BM25)
+@query(BM25_SQL)
 def fts_phrase_bm25(spark: SparkSession, d: str) -> DataFrame:
     """BM25 of one phrase over tool names and arguments, the 50 best."""
-    return lexical.phrase_search(_calls(spark, d), "call_key", ["tool_name", "call_arguments"], 'command: "rg', 50).select("call_key", F.round("rank", 6).alias("score"))
+    return lexical.phrase_search(invocation_rows(spark, d), "call_key", ["tool_name", "call_arguments"], 'command: "rg', 50).select("call_key", F.round("rank", 6).alias("score"))
 
 
 _CHANNELS_SQL = """dense AS (SELECT query_id, entry_key AS id, max(fused_score) AS score FROM recall_results WHERE fused_score IS NOT NULL GROUP BY ALL),
@@ -230,13 +230,13 @@ def repo_normalise(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "sessions").where("session_path is not null").select("session_key", "ingested_at", identity.repository_path_column(F.col("session_path")).alias("repository"))
 
 
-@query("""SELECT doc_id, CASE WHEN d.project_identity IS NULL OR s.project_identity IS NULL OR d.project_identity <> s.project_identity THEN 'unrestricted_global'
-  WHEN s.parent_session IS NOT NULL THEN 'configured_lineage' WHEN starts_with(d.project_identity, 'non-git-session-origin:') THEN 'same_session_origin' ELSE 'same_repository' END AS relation
+@query("""SELECT doc_id, CASE WHEN d.project_identity IS NULL OR s.project_identity IS NULL OR d.project_identity <> s.project_identity THEN 'unrestricted_global_evidence'
+  WHEN s.parent_session IS NOT NULL THEN 'configured_project_lineage' WHEN starts_with(d.project_identity, 'non-git-session-origin:') THEN 'same_session_origin' ELSE 'same_repository' END AS relation
   FROM documents d LEFT JOIN (SELECT * FROM sessions QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY ingested_at DESC) = 1) s USING (session_key)""")
 def evidence_relation(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.records import current_rows
 
-    s = current_rows(_t(spark, d, "sessions"), "session_key").select("session_key", F.col("project_identity").alias("other"), F.when(F.col("parent_session").isNotNull(), "lineage").otherwise("git").alias("src"))
+    s = current_rows(_t(spark, d, "sessions"), "session_key").select("session_key", F.col("project_identity").alias("other"), F.when(F.col("parent_session").isNotNull(), "configured_project_lineage").otherwise("git_origin").alias("src"))
     return _t(spark, d, "documents").join(s, "session_key", "left").select("doc_id", identity.evidence_relation(F.col("project_identity"), F.col("other"), F.lit("git"), F.col("src")).alias("relation"))
 
 
@@ -347,5 +347,5 @@ def call_results(spark: SparkSession, d: str) -> DataFrame:
     """Each tool call with the error flag of its last result, null where the last one has none."""
     e = live_rows(_t(spark, d, "entries").select("entry_key", "row_id", "session_key", "line_no", "message_role", "message_is_error", text.norm_id(F.col("message_tool_call_id")).alias("call"), "ingested_at", "deleted_at"), "entry_key", tie="row_id")
     last = e.where("message_role = 'toolResult'").groupBy("session_key", "call").agg(F.max_by(F.struct("message_is_error"), F.struct("line_no", "entry_key")).alias("last")).select("session_key", "call", F.col("last.message_is_error").alias("is_error"))
-    c = _calls(spark, d).withColumn("call", text.norm_id(F.col("tool_call_id")))
+    c = invocation_rows(spark, d).withColumn("call", text.norm_id(F.col("tool_call_id")))
     return c.join(last, ["session_key", "call"], "left").select("call_key", "is_error")

@@ -48,7 +48,7 @@ def _files(lines: DataFrame) -> DataFrame:
     return lines.groupBy("path").agg(F.encode(text, "UTF-8").alias("content"))
 
 
-def _raw_files(spark: SparkSession, d: str) -> DataFrame:
+def raw_files(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/raw_records.parquet").where("file_id is not null and line_no is not null")
     w = W.partitionBy("file_id", "line_no").orderBy(F.col("read_at").desc_nulls_last(), F.md5("raw_json").desc_nulls_last())
     once = rows.withColumn("rn", F.row_number().over(w)).where("rn = 1")
@@ -65,12 +65,12 @@ lines AS (SELECT path, line, CASE WHEN line < n THEN regexp_replace(text, '\\r$'
 @query(f"WITH {_RAW_SQL} SELECT path, CAST(line AS INTEGER) AS line, text FROM lines")
 def framed_lines(spark: SparkSession, d: str) -> DataFrame:
     """Files cut into lines at line feeds only."""
-    return jsonl.frame_lines(_raw_files(spark, d))
+    return jsonl.frame_lines(raw_files(spark, d))
 
 
 @query(f"WITH {_RAW_SQL} SELECT path, octet_length(encode(content)) AS size, sha256(content) AS sha256 FROM file")
 def source_identity(spark: SparkSession, d: str) -> DataFrame:
-    return jsonl.source_identity(_raw_files(spark, d))
+    return jsonl.source_identity(raw_files(spark, d))
 
 
 _FILLED = "json_type({j}, '$.{k}') = 'VARCHAR' AND json_extract_string({j}, '$.{k}') <> ''"
@@ -92,7 +92,7 @@ _LINEAR_SQL = f"""NOT json_exists(j, '$.id') AND NOT json_exists(j, '$.parentId'
   WHEN 'compaction' THEN {_tests('j', text=['summary'], number=['firstKeptEntryIndex', 'tokensBefore'])} ELSE false END"""
 
 
-@query(f"""WITH {_RAW_SQL},
+ROUTES_SQL = f"""WITH {_RAW_SQL},
 rec AS (SELECT path, line, CASE WHEN json_valid(text) THEN text::JSON END AS j FROM lines WHERE {_js_trim('text')} <> ''),
 bad AS (SELECT DISTINCT path FROM rec WHERE j IS NULL OR json_type(j) <> 'OBJECT' OR coalesce(json_type(j, '$.type'), '') <> 'VARCHAR'),
 ok AS (SELECT *, json_extract_string(j, '$.type') AS t FROM rec WHERE path NOT IN (SELECT path FROM bad)),
@@ -104,10 +104,13 @@ whole AS (SELECT path, max(part) AS sessions, count(*) AS n, bool_or(k = 1 AND h
   bool_and(k = 1 OR linear) AS linear FROM cut GROUP BY 1),
 routed AS (SELECT w.*, CASE WHEN sessions > 1 THEN CASE WHEN led AND (SELECT bool_and(p.n >= 2 AND p.good) FROM parts p WHERE p.path = w.path) THEN 'reuse_history' END
   WHEN complete AND NOT has_version AND n > 1 AND linear THEN 'linear' WHEN complete AND versioned THEN 'canonical' END AS format FROM whole w)
-SELECT f.path, r.format, CASE WHEN r.format IS NULL THEN 0 ELSE r.sessions END::BIGINT AS sessions, CASE WHEN r.format IS NULL THEN 0 ELSE r.n END AS records FROM file f LEFT JOIN routed r USING (path)""")
+SELECT f.path, r.format, CASE WHEN r.format IS NULL THEN 0 ELSE r.sessions END::BIGINT AS sessions, CASE WHEN r.format IS NULL THEN 0 ELSE r.n END AS records FROM file f LEFT JOIN routed r USING (path)"""
+
+
+@query(ROUTES_SQL)
 def import_routes(spark: SparkSession, d: str) -> DataFrame:
     """Each file's format, logical sessions and records; a rejected file has no format."""
-    got = jsonl.import_sessions(_raw_files(spark, d))
+    got = jsonl.import_sessions(raw_files(spark, d))
     return got.groupBy(F.col("session_path").alias("path")).agg(F.max("format").alias("format"), F.countDistinct("session_no").alias("sessions"), F.count("record_json").alias("records"))
 
 

@@ -130,19 +130,27 @@ def test_generations_locks_and_ignore_list(spark, tmp_path):
     g.write(c, {"t": spark.range(3)}, {"v": 1, "n": {"x": 2}, "extra": 1})
     first = g.stage(c)
     g.activate(first)
-    assert g.read("t").count() == 3 and g.active({"v": 1}) == first.resolve()
+    assert g.read("t").count() == 3 and g.active({"v": 1}) == first and g.has_active()
     with pytest.raises(RuntimeError, match="n.x"):
         g.active({"v": 1, "n": {"x": 3}})
     with pytest.raises(ValueError):
-        g.activate(tmp_path)
-    with maintenance.exclusive_lock(str(tmp_path)), pytest.raises(TimeoutError), maintenance.exclusive_lock(str(tmp_path)):
-        pass
-    (tmp_path / ".lock").mkdir()
-    (tmp_path / ".lock" / "pid").write_text("999999999")
-    with maintenance.exclusive_lock(str(tmp_path)):
-        pass
-    ignore = maintenance.IgnoreList(str(tmp_path / "ignore.json"))
-    assert ignore.change(add=["/b", "/a/../a", "/b"]) == ["/a", "/b"] and ignore.change(remove=["/b"]) == ["/a"] and ignore.frame(spark).count() == 1
+        g.activate(str(tmp_path))
+    assert [r.id for r in g.lookup("t", spark.createDataFrame([(1,), (9,)], "x long")).collect()] == [1]
+    root = str(tmp_path / "index")
+    with maintenance.exclusive_lock(spark, root):
+        assert maintenance.locked(spark, root)
+        with pytest.raises(TimeoutError), maintenance.exclusive_lock(spark, root):
+            pass
+    import socket
+
+    for owner in (f"{socket.gethostname()} 999999999", ""):
+        (tmp_path / "index" / ".lock").write_text(owner)
+        with maintenance.exclusive_lock(spark, root, poll=0.01):
+            pass
+    assert not maintenance.locked(spark, root)
+    ignore = maintenance.IgnoreList(spark, root)
+    assert ignore.change(add=["/b", "/a/../a", "/b"]) == ["/a", "/b"] and ignore.change(remove=["/b"]) == ["/a"] and ignore.frame().count() == 1
+    assert maintenance.Shared(spark, root).size()["files"] > 3
 
 
 def test_vector_reuse_and_replacement(spark):
