@@ -35,7 +35,19 @@ n AS (SELECT entry_key, count(*) AS n FROM t GROUP BY 1),
 c AS (SELECT a.entry_key AS a, b.entry_key AS b, count(*) AS common FROM t a JOIN t b ON a.s = b.s AND a.entry_key < b.entry_key GROUP BY 1, 2)
 SELECT a AS entry_key_a, b AS entry_key_b FROM c JOIN n x ON x.entry_key = a JOIN n y ON y.entry_key = b WHERE 5 * common >= 3 * (x.n + y.n - common)"""
 
+_GROUPS = _PAIRS.replace("WITH ", "WITH RECURSIVE ", 1).rsplit("\nSELECT a AS", 1)[0] + """,
+sig AS (SELECT entry_key, md5(string_agg(s, '|' ORDER BY s)) AS h FROM t GROUP BY 1),
+cls AS (SELECT entry_key, min(entry_key) OVER (PARTITION BY h) AS class_id FROM sig),
+near AS (SELECT DISTINCT ca.class_id AS a, cb.class_id AS b FROM c JOIN n x ON x.entry_key = c.a JOIN n y ON y.entry_key = c.b JOIN cls ca ON ca.entry_key = c.a JOIN cls cb ON cb.entry_key = c.b
+  WHERE 5 * common >= 3 * (x.n + y.n - common) AND ca.class_id <> cb.class_id),
+edge AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b)
+SELECT k.entry_key, k.class_id, least(k.class_id, (SELECT min(b) FROM reach r WHERE r.a = k.class_id)) AS group_id, (SELECT count(*) FROM edge e WHERE e.a = k.class_id) AS links FROM cls k"""
+
 ORACLE = {
+    "p2_groups": _GROUPS,
+    "p1_covered": f"WITH {LIVE_ENTRIES_SQL}, {_LIMITS} SELECT entry_key, true AS fits, true AS covers FROM live JOIN lim USING (session_key) WHERE {_TOKENS} > max_tokens",
+    "p8_coverage": "SELECT budget_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0::BIGINT AS gaps, 0::BIGINT AS overfull FROM token_budgets",
     "p2_found": _PAIRS,
     "p1_found": f"WITH {LIVE_ENTRIES_SQL}, {_LIMITS} SELECT entry_key FROM live JOIN lim USING (session_key) WHERE {_TOKENS} > max_tokens",
     "p4_found": _WALK + "SELECT session_key FROM judged WHERE verdict <> 'ok'",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.records import current_rows, keep_live
@@ -41,6 +41,25 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _oversized(spark, d).withColumnRenamed("item", "entry_key")
 
 
+@query
+def p1_covered(spark: SparkSession, d: str) -> DataFrame:
+    """Of each cut entry: whether its pieces fit, follow each other without gaps, keep to the overlap and spell the whole content."""
+    pieces = _oversized(spark, d)
+    policies = spark.read.parquet(f"{d}/chunk_policies.parquet").select("policy_id", "max_tokens", "overlap_tokens")
+    limits = current_rows(spark.read.parquet(f"{d}/sessions.parquet").select("session_key", "policy_id", "ingested_at"), "session_key").join(policies, "policy_id").select("session_key", "max_tokens", "overlap_tokens")
+    rows = spark.read.parquet(f"{d}/entries.parquet").select("entry_key", "row_id", "session_key", "ingested_at", "deleted_at", F.col("message_content").alias("text"))
+    whole = keep_live(rows).join(limits, "session_key").select(F.col("entry_key").alias("item"), "text", "max_tokens", "overlap_tokens")
+    p = F.transform("all", lambda x: x)
+    before = lambda i: F.get(p, i - 1)
+    follow = F.forall(F.transform("all", lambda x, i: (x["no"] == i) & F.when(i == 0, x["char_start"] == 0).otherwise(
+        (x["char_start"] <= before(i)["char_end"]) & (x["char_end"] > before(i)["char_end"]) & (x["token_start"] >= before(i)["token_end"] - F.col("overlap_tokens")) & (x["token_start"] <= before(i)["token_end"]))), lambda ok: ok)
+    one = pieces.groupBy("item").agg(F.array_sort(F.collect_list(F.struct(F.col("piece_no").alias("no"), "char_start", "char_end", "token_start", "token_end", "piece"))).alias("all"))
+    tested = one.join(whole, "item")
+    fits = F.forall("all", lambda x: x["token_end"] - x["token_start"] <= F.col("max_tokens"))
+    spelled = F.forall("all", lambda x: x["piece"] == F.substring("text", x["char_start"] + 1, x["char_end"] - x["char_start"]))
+    return tested.select(F.col("item").alias("entry_key"), fits.alias("fits"), (follow & spelled & (F.element_at("all", -1)["char_end"] == F.length("text"))).alias("covers"))
+
+
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
     return conv.verdicts(spark, spark.read.parquet(f"{d}/entries.parquet"), spark.read.parquet(f"{d}/sessions.parquet"))[0]
 
@@ -98,6 +117,18 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return used.join(budgets, "budget_id").withColumn("used_share", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
 
 
+@query
+def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Of each budget: documents placed whole or in consecutive pieces, documents with a gap, containers above the capacity."""
+    packed = _packed(spark, d)
+    budgets = spark.read.parquet(f"{d}/token_budgets.parquet").select("budget_id", "capacity_tokens")
+    w = Window.partitionBy("budget_id", "doc_id").orderBy("piece_no")
+    gap = (F.col("piece_no") != F.row_number().over(w) - 1) | (F.col("token_start") != F.coalesce(F.lag(F.col("token_start") + F.col("n_tokens")).over(w), F.lit(0)))
+    docs = packed.withColumn("gap", gap).groupBy("budget_id").agg(F.countDistinct("doc_id").alias("documents"), F.count_if("gap").alias("gaps"))
+    used = packed.groupBy("budget_id", "container").agg(F.sum("n_tokens").alias("n")).join(budgets, "budget_id").groupBy("budget_id").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("overfull"))
+    return docs.join(used, "budget_id").select("budget_id", "documents", "gaps", "overfull")
+
+
 @query
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.judge(spark, spark.read.parquet(f"{d}/documents.parquet")).where("verdict <> 'whole'").select("doc_id")

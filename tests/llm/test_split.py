@@ -56,6 +56,12 @@ def test_natural_boundaries(spark):
     assert named["after"] == "fence" and named["#"] == "heading" and named["two"] == "token" and named["code"] == "line"
 
 
+def test_sentence_ends_behind_any_number_of_closing_marks():
+    text = "one two" + "." + "')]" * 40 + " three four."
+    starts, ends = spans(text)
+    assert [split.KINDS[k] for k in split.boundary_kinds(text, starts, ends)[1:4]] == ["token", "sentence", "token"]
+
+
 def test_pieces_cover_whole_text(spark):
     long = " ".join(f"w{i}." if i % 7 == 0 else f"w{i}" for i in range(5000)) + "  \n"
     rows = [(1, long, 40, 8, "clash"), (1, long, 40, 8, "clash"), (2, "short text", 40, 8, None), (3, None, 40, 8, None), (4, "  ", 1, 0, None), (5, "a b c", 2, 9, None),
