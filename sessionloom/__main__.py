@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import config
 from .functions.chunking import SCHEMA_VERSION
 from .operators import attribution, embedding, integrity, lexical, maintenance, search, session_graph
-from .runtime import build_session, ship_package
+from .runtime import build_session, clean, ship_package
 from .sources import jsonl, scan
 
 NO_PROJECT = "project_identity string, identity_source string"
@@ -45,7 +45,8 @@ def index(spark: SparkSession, root: str, store: str, settings: config.Settings,
         diff = maintenance.snapshot_diff(now.where(chosen), stored.where(chosen), ignore.frame()).cache()
         changed = diff.where("status in ('new', 'changed')")
         records = jsonl.import_sessions(files.drop("path").withColumnRenamed("plain", "path").join(changed, "path", "left_semi")).cache()
-        docs = _attributed(session_graph.project_sessions(records, settings.policy()), environment, lineage)
+        before = g.read("documents").join(changed.select(F.col("path").alias("session_path")), "session_path", "left_semi") if has else None
+        docs = _attributed(session_graph.project_sessions(records, settings.policy(), earlier=before), environment, lineage)
         calls = _attributed(session_graph.project_invocations(records), environment, lineage)
         calls = calls.withColumn("invocation_id", F.xxhash64("session_path", "session_id", "entry_id", "block"))
         stale = diff.where("status not in ('unchanged', 'touched')").select(F.col("path").alias("session_path"))
@@ -159,6 +160,7 @@ def main(argv: list[str] | None = None) -> None:
             print(f"{r.path}:{r.line} {r.excerpt}")
         for r in scan.source_failures(lines, args.query).toLocalIterator():
             print(r.error)
+    clean(spark)
 
 
 if __name__ == "__main__":

@@ -226,8 +226,15 @@ def _pending(g: Graph) -> list[dict]:
     return out
 
 
-def documents(session_path: str, logical: str, g: Graph, policy: ck.ChunkPolicy, count: ck.Count) -> list[dict]:
-    """All chunks of one session with full provenance."""
+Known = dict[tuple[str, str], list[ck.Span]]
+
+
+def documents(session_path: str, logical: str, g: Graph, policy: ck.ChunkPolicy, count: ck.Count, known: Known | None = None) -> list[dict]:
+    """All chunks of one session with full provenance.
+
+    ``known`` holds the spans of earlier runs by (projection input, checksum of policy and text): what is found
+    there is not tokenized again, while everything about the graph is made anew.
+    """
     rows = []
     pending = []
     for p in _pending(g):
@@ -237,10 +244,10 @@ def documents(session_path: str, logical: str, g: Graph, policy: ck.ChunkPolicy,
             pending.append(p)
     for p in pending:
         e, ids = p["entry"], [x["id"] for x in p["contributing"]]
-        spans = ck.chunk_text(p["text"], count, policy)
+        key, check = ck.projection_input(logical, e["id"], ids, p["kind"], p["evidence"], "content", p["run"], policy, p["text"])
+        spans = (known or {}).get((key, check)) or ck.chunk_text(p["text"], count, policy)
         run = ck.text_run_id(logical, e["id"], ids, p["evidence"], "content", p["run"])
         names = [ck.chunk_id(run, s.char_start, s.char_end) for s in spans]
-        key, check = ck.projection_input(logical, e["id"], ids, p["kind"], p["evidence"], "content", p["run"], policy, p["text"])
         shared = [x for x in g.leaves_of[ids[0]] if all(x in g.leaves_of[i] for i in ids[1:])]
         for k, s in enumerate(spans):
             before, after = (names[k - 1] if k else None), (names[k + 1] if k + 1 < len(spans) else None)
@@ -290,24 +297,45 @@ def project_graph(records: DataFrame) -> DataFrame:
     return records.where("error is null").groupBy("session_path", "session_no").applyInPandas(run, ENTRY)
 
 
-def project_sessions(records: DataFrame, policy: ck.ChunkPolicy | None = None, count: Callable[[str], int] = ck.whitespace_tokens) -> DataFrame:
+def _known(group: pd.DataFrame) -> Known:
+    """Spans of earlier documents; an input whose chunks are not all there, once each, is left out."""
+    out: Known = {}
+    for key, g in group.groupby(["projection_input_id", "input_checksum"]):
+        g = g.sort_values("chunk_index")
+        if g["chunk_index"].tolist() == list(range(len(g))) and (g["chunk_count"] == len(g)).all():
+            out[key] = [ck.Span(*map(int, r[:6]), r[6]) for r in g[["char_start", "char_end", "token_start", "token_end", "n_tokens", "overlap_tokens", "content"]].itertuples(index=False, name=None)]
+    return out
+
+
+def project_sessions(records: DataFrame, policy: ck.ChunkPolicy | None = None, count: Callable[[str], int] = ck.whitespace_tokens, earlier: DataFrame | None = None) -> DataFrame:
     """Dense documents of all logical sessions of ``import_sessions``; an invalid session gives one row with ``error``.
 
-    Rejected files are left out here. One logical session must fit a task; a session file is the
-    reference unit of work, too.
+    Rejected files are left out here. One session file must fit a task; it is the reference unit of work, too.
+    With ``earlier`` documents of the same files, texts that have not changed keep their chunks without being
+    tokenized again; the result is the same.
     """
     policy = policy or ck.ChunkPolicy()
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def one(group: pd.DataFrame, known: Known | None) -> pd.DataFrame:
         path, sid = group["session_path"].iloc[0], group["session_id"].iloc[0]
         try:
             recs = _records(group)
             logical = f"{sid}@{recs[0][0]}" if group["format"].iloc[0] == "reuse_history" else sid
-            return _frame(documents(path, logical, Graph(recs), policy, count))
+            return _frame(documents(path, logical, Graph(recs), policy, count, known))
         except ValueError as e:
             return _frame([{"session_path": path, "session_id": sid, "error": str(e)}])
 
-    return records.where("error is null").groupBy("session_path", "session_no").applyInPandas(run, DOCUMENT)
+    valid = records.where("error is null")
+    if earlier is None:
+        return valid.groupBy("session_path", "session_no").applyInPandas(lambda g: one(g, None), DOCUMENT)
+
+    def file(group: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        known = _known(before)
+        parts = [one(g, known) for _, g in group.groupby("session_no", sort=True)]
+        return pd.concat(parts, ignore_index=True) if parts else _frame([])
+
+    spans = earlier.where("error is null").select("session_path", "projection_input_id", "input_checksum", "chunk_index", "chunk_count", "char_start", "char_end", "token_start", "token_end", "n_tokens", "overlap_tokens", "content")
+    return valid.groupBy("session_path").cogroup(spans.groupBy("session_path")).applyInPandas(file, DOCUMENT)
 
 
 def project_invocations(records: DataFrame, own_tools: frozenset[str] = frozenset()) -> DataFrame:

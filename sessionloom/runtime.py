@@ -83,3 +83,8 @@ def small_side(spark: SparkSession, df: DataFrame, tag: str, most_rows: int = 50
     """df, written to the shared folder and counted: broadcast up to ``most_rows`` narrow rows, joined as it is beyond."""
     kept, _ = materialize(spark, df, tag)
     return F.broadcast(kept) if kept.count() <= most_rows else kept
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete every table this application materialised; results that still read one must have been written before."""
+    release(spark, f"{shared_folder(spark)}/sessionloom/{spark.sparkContext.applicationId}")

@@ -1,7 +1,9 @@
 """Structured-streaming extension: session lines that arrive in new files, append-only.
 
 The file source neither sees changed nor deleted files, so index maintenance stays a batch job over a
-snapshot diff (operators.maintenance); this stream serves append-only landing folders.
+snapshot diff (operators.maintenance); this stream serves append-only landing folders. Orphan state that is
+made over a folder outlives a restart like the stream's own checkpoint, and a batch that is delivered
+again changes nothing.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ from sessionloom.operators import integrity, search, session_graph
 from sessionloom.sources import jsonl, scan
 
 HEAD = {"type": "session", "version": 3, "id": "s1", "timestamp": "t", "cwd": "/w/p"}
+# The records whose hashed entry ids are pinned below, with the members that the oldest format asks for.
 LINEAR = [
     {"type": "session", "id": "session-v1-fixture", "timestamp": "2025-12-01T10:00:00.000Z", "cwd": "/legacy/project", "parentSession": "/legacy/parent.jsonl"},
     {"type": "message", "timestamp": "2025-12-01T10:00:01.000Z", "message": {"role": "user", "content": "Where is the v1 migration note?", "timestamp": 1764583201000}},
@@ -129,6 +130,26 @@ def test_invocation_text_and_bounds(spark):
     assert {(r.kind, r.tool_name, r.is_error) for r in got} == {("tool_call", "read", True), ("bash_execution", "bash", False)}
 
 
+def test_unchanged_texts_are_not_tokenized_again(spark, monkeypatch):
+    """Only texts whose input or policy changed are chunked, and the result equals a full projection."""
+    note = {"type": "custom_message", "id": "n", "parentId": None, "timestamp": "t", "content": "Alpha words. " * 30}
+    old = [HEAD, note, msg("u", "n", "user", "a question"), msg("a", "u", "assistant", "short answer")]
+    new = [*old, msg("v", "a", "user", "one more question"), {"type": "leaf", "targetId": "a"}]
+    policy, files = ck.ChunkPolicy(16, 4), [project(spark, file_of(r))[0] for r in (old, new)]
+    first = session_graph.project_sessions(files[0], policy).cache()
+    known, graph = session_graph._known(first.toPandas()), session_graph.Graph(list(enumerate(new)))
+    full = session_graph.documents("/f0.jsonl", HEAD["id"], graph, policy, ck.whitespace_tokens)
+    seen, chunk = [], ck.chunk_text
+    monkeypatch.setattr(ck, "chunk_text", lambda text, *a, **k: seen.append(text) or chunk(text, *a, **k))
+    assert session_graph.documents("/f0.jsonl", HEAD["id"], graph, policy, ck.whitespace_tokens, known) == full and seen == ["one more question"]
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(session_graph.project_sessions(files[1], policy))
+    assert rows(session_graph.project_sessions(files[1], policy, earlier=first)) == want
+    # incomplete or differing earlier chunks are no use, and do no harm
+    broken = first.withColumn("input_checksum", F.lit("other")).unionByName(first.where("chunk_index > 0"))
+    assert rows(session_graph.project_sessions(files[1], policy, earlier=broken)) == want
+
+
 V1 = {"message": {"role": "user", "content": "x", "timestamp": 1}}
 
 

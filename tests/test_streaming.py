@@ -18,3 +18,19 @@ def test_stream_feeds_orphan_state(spark, tmp_path):
     stream = spark.readStream.schema(spark.createDataFrame([], SCHEMA).schema).parquet(str(tmp_path / "in"))
     feed_orphans(stream, state, str(tmp_path / "cp")).awaitTermination(120)
     assert {(r.table_name, r.record_key, r.ref_field) for r in state.pending().collect()} == brute(rows)
+
+
+def test_restart_goes_on_with_stored_state(spark, tmp_path):
+    """Two runs over one landing folder, with a fresh state object, and one batch delivered twice."""
+    from test_orphans import SCHEMA, brute, sample
+
+    rows, folder = sorted(sample(11, 60), key=lambda r: r[2]), tmp_path / "in"
+    schema = spark.createDataFrame([], SCHEMA).schema
+    for k, part in enumerate((rows[:35], rows[35:])):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
+        state = orphans.OrphanState(spark, str(tmp_path / "state"), buckets=4)
+        assert state.seq == k
+        feed_orphans(spark.readStream.schema(schema).parquet(str(folder)), state, str(tmp_path / "cp")).awaitTermination(240)
+    state.advance(spark.createDataFrame(rows[35:], SCHEMA))
+    state = orphans.OrphanState(spark, str(tmp_path / "state"), buckets=4)
+    assert {(r.table_name, r.record_key, r.ref_field) for r in state.pending().collect()} == brute(rows)
