@@ -69,3 +69,57 @@ def channel_proof(scoped: DataFrame, unscoped: DataFrame, expected: DataFrame, p
     spoilt = unscoped.join(polluting.distinct(), ["query_id", "id"], "left_semi").groupBy("query_id", "channel").agg(F.count("*").alias("polluting"))
     out = per.join(spoilt, ["query_id", "channel"], "left").withColumn("polluting", F.coalesce("polluting", F.lit(0).cast("long")))
     return out.withColumn("passed", F.col("admitted") & F.col("displaced") & (F.col("polluting") >= F.col("least_polluting"))).select("query_id", "channel", "admitted", "displaced", "polluting", "passed")
+
+
+def matched_sources(members: DataFrame, expected: DataFrame) -> DataFrame:
+    """Every pair of a result group's member and an expected source that it satisfies.
+
+    ``members``: query_id, rank_no (of the group), dense_rank, session_path, entry_ids (own and contributing), content,
+    evidence_kind, summary_kind, is_active, cwd, relation. ``expected``: query_id, source_no, session_file, entry_id,
+    required_text, want_evidence, want_summary, want_branch, want_origin, want_relation, required_entries. Matching
+    is an equi-join on query, file name and entry, then all required texts must occur; null wishes are none.
+    """
+    each = members.select("*", F.explode(F.array_distinct("entry_ids")).alias("entry_id")).withColumn("session_file", F.element_at(F.split("session_path", "/"), -1))
+    both = each.join(expected, ["query_id", "session_file", "entry_id"])
+    holds = lambda wish, has: F.col(wish).isNull() | F.col(wish).eqNullSafe(F.col(has))
+    texts = F.forall(F.coalesce("required_text", F.array().cast("array<string>")), lambda t: F.contains("content", t))
+    return both.where(texts & holds("want_evidence", "evidence_kind") & holds("want_summary", "summary_kind"))
+
+
+def case_quality(members: DataFrame, shown: DataFrame, expected: DataFrame, cases: DataFrame, counts: list[int]) -> DataFrame:
+    """One row per case and number k of final results: what the first k groups recall, preserve and verify.
+
+    ``shown``: query_id, rank_no, text (content or stitched context of the group); ``cases``: query_id,
+    required_context, least_sources. recalled: some group holds an expected source; preserved: how many sources;
+    context: a group with a source shows every required fragment, without regard to case; origins, relations,
+    contributing, branches: every source has a match with what it asks for. A case without results fails.
+    """
+    hits = matched_sources(members, expected)
+    branch = F.when(F.col("want_branch") == "active", F.col("is_active")).when(F.col("want_branch") == "abandoned", ~F.col("is_active")).otherwise(True)
+    parts = F.forall(F.coalesce("required_entries", F.array().cast("array<string>")), lambda e: F.array_contains("entry_ids", e))
+    ks = F.explode(F.array(*[F.lit(k) for k in counts])).alias("k")
+    tests = {"origins": F.col("cwd").eqNullSafe(F.col("want_origin")), "relations": F.col("relation").eqNullSafe(F.col("want_relation")), "contributing": parts, "branches": branch}
+    flagged = hits.select("query_id", "source_no", "rank_no", *[F.coalesce(t, F.lit(False)).alias(n) for n, t in tests.items()], ks).where("rank_no <= k")
+    source = flagged.groupBy("query_id", "k", "source_no").agg(*[F.bool_or(n).alias(n) for n in tests])
+    done = source.groupBy("query_id", "k").agg(F.count("*").alias("preserved"), *[F.count_if(n).alias(n) for n in tests])
+    asked = expected.groupBy("query_id").agg(F.countDistinct("source_no").alias("asked"))
+    wanted = shown.join(hits.select("query_id", "rank_no").distinct(), ["query_id", "rank_no"], "left_semi").join(cases.select("query_id", "required_context"), "query_id")
+    useful = wanted.where(F.forall(F.coalesce("required_context", F.array().cast("array<string>")), lambda t: F.contains(F.lower("text"), F.lower(t)))).groupBy("query_id").agg(F.min("rank_no").alias("useful_at"))
+    out = cases.select("query_id", "least_sources", ks).join(asked, "query_id", "left").join(done, ["query_id", "k"], "left").join(useful, "query_id", "left")
+    n = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return out.select(
+        "query_id", "k", (n("preserved") > 0).alias("recalled"), n("preserved").alias("preserved"), (n("preserved") >= F.col("least_sources")).alias("preserved_enough"),
+        F.coalesce(F.col("useful_at") <= F.col("k"), F.lit(False)).alias("context"), *[(n(t) == n("asked")).alias(t) for t in tests])
+
+
+def quality_summary(measured: DataFrame) -> DataFrame:
+    """(k, cases, and the share of cases that pass each test) of ``case_quality``; no cases give no rows."""
+    flags = ["recalled", "preserved_enough", "context", "origins", "relations", "contributing", "branches"]
+    return measured.groupBy("k").agg(F.count("*").alias("cases"), *[F.avg(F.col(f).cast("int")).alias(f) for f in flags])
+
+
+def report(summary: DataFrame) -> str:
+    """The summary as a Markdown table; one row per k, so a handful."""
+    rows, names = summary.orderBy("k").collect(), [c for c in summary.columns if c not in ("k", "cases")]
+    head = ["| results | cases | " + " | ".join(n.replace("_", " ") for n in names) + " |", "|-|-|" + "-|" * len(names)]
+    return "\n".join(head + [f"| {r.k} | {r.cases} | " + " | ".join(f"{r[n]:.1%}" for n in names) + " |" for r in rows])

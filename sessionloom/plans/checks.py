@@ -190,3 +190,31 @@ def selected_sessions(spark: SparkSession, d: str) -> DataFrame:
     wanted = _t(spark, d, "sessions").where("policy_id = 3").select("session_key").distinct()
     live = live_rows(_t(spark, d, "entries").select("entry_key", "row_id", "session_key", "ingested_at", "deleted_at"), "entry_key", tie="row_id")
     return live.join(wanted, "session_key", "left_semi").groupBy("session_key").agg(F.count("*").alias("entries"))
+
+
+_CASES_SQL = """cur AS (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY entry_key ORDER BY ingested_at DESC, row_id DESC) = 1),
+mem AS (SELECT DISTINCT r.query_id, r.rank_no, e.entry_key, e.session_key, e.entry_id, e.message_content AS content, e.line_no % 2 = 0 AS act FROM recall_results r JOIN cur e USING (entry_key) WHERE r.query_id IS NOT NULL AND r.rank_no IS NOT NULL AND e.entry_id IS NOT NULL AND e.session_key IS NOT NULL),
+want AS (SELECT query_id, entry_key AS source_no, session_key, entry_id, left(content, 6) AS word FROM mem WHERE rank_no IN (2, 4)),
+ask AS (SELECT query_id, count(DISTINCT source_no) AS asked FROM want GROUP BY 1),
+hit AS (SELECT m.query_id, w.source_no, m.rank_no, m.act, m.content FROM mem m JOIN want w ON w.query_id = m.query_id AND w.session_key = m.session_key AND w.entry_id = m.entry_id AND (w.word IS NULL OR contains(m.content, w.word)))"""
+
+
+@query(f"""WITH {_CASES_SQL}, c AS (SELECT query_id, k FROM (SELECT DISTINCT query_id FROM mem), (SELECT unnest([2, 5]) AS k)),
+s AS (SELECT c.query_id, c.k, h.source_no, bool_or(h.act) AS act FROM c JOIN hit h ON h.query_id = c.query_id AND h.rank_no <= c.k GROUP BY 1, 2, 3),
+d AS (SELECT query_id, k, count(*) AS preserved, count_if(act) AS act FROM s GROUP BY 1, 2)
+SELECT c.query_id, CAST(c.k AS INTEGER) AS k, coalesce(d.preserved, 0) > 0 AS recalled, coalesce(d.preserved, 0) AS preserved, coalesce(d.preserved, 0) >= 2 AS preserved_enough, coalesce(d.act, 0) = coalesce(a.asked, 0) AS branches,
+  EXISTS (SELECT 1 FROM hit h WHERE h.query_id = c.query_id AND h.rank_no <= c.k AND contains(lower(h.content), 'the')) AS context
+FROM c LEFT JOIN d ON d.query_id = c.query_id AND d.k = c.k LEFT JOIN ask a ON a.query_id = c.query_id""")
+def case_quality(spark: SparkSession, d: str) -> DataFrame:
+    """What the first 2 and 5 recorded results of each query hold of the sources at ranks 2 and 4, asked for on the active branch."""
+    e = current_rows(_t(spark, d, "entries").select("entry_key", "row_id", "session_key", "entry_id", "line_no", "message_content", "ingested_at"), "entry_key", tie="row_id").where("entry_id is not null and session_key is not null")
+    r = _t(spark, d, "recall_results").where("query_id is not null and rank_no is not null").select("query_id", "rank_no", "entry_key").distinct()
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    rows = r.join(e, "entry_key").select("query_id", "rank_no", "entry_key", F.col("session_key").alias("session_path"), F.array("entry_id").alias("entry_ids"), F.col("entry_id").alias("own"), F.col("message_content").alias("content"), (F.col("line_no") % 2 == 0).alias("is_active"))
+    members = rows.drop("entry_key", "own").select("*", *none("evidence_kind", "summary_kind", "cwd", "relation"))
+    expected = rows.where("rank_no in (2, 4)").select(
+        "query_id", F.col("entry_key").alias("source_no"), F.col("session_path").alias("session_file"), F.col("own").alias("entry_id"), F.when(F.col("content").isNotNull(), F.array(F.left("content", F.lit(6)))).alias("required_text"),
+        *none("want_evidence", "want_summary", "want_origin", "want_relation"), F.lit("active").alias("want_branch"), F.lit(None).cast("array<string>").alias("required_entries")).distinct()
+    cases = rows.select("query_id", F.array(F.lit("The")).alias("required_context"), F.lit(2).alias("least_sources")).distinct()
+    got = evaluation.case_quality(members, rows.select("query_id", "rank_no", F.col("content").alias("text")), expected, cases, [2, 5])
+    return got.select("query_id", "k", "recalled", "preserved", "preserved_enough", "branches", "context")

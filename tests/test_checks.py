@@ -5,7 +5,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from sessionloom.operators import attribution, embedding, integrity, lexical, vectors
+from sessionloom.operators import attribution, embedding, evaluation, integrity, lexical, vectors
 
 DOC = "id long, name string, text string, clash string"
 
@@ -116,3 +116,26 @@ def test_empty_tables_are_healthy(spark):
     inv = spark.createDataFrame([], "invocation_id long")
     inputs = spark.createDataFrame([], "session_path string, projection_input_id string, document_id long")
     assert integrity.integrity_report(docs, vec, inv, inv, inputs).first().healthy
+
+
+def test_cases_over_group_members(spark):
+    members = spark.createDataFrame([
+        (1, 1, "/s/x.jsonl", ["z"], "noise", "conversation", None, True, "/w", "same_repository"),
+        (1, 2, "/s/a.jsonl", ["e", "f"], "the Copper lantern", "turn_context", None, False, "/w", "same_repository"),
+        (1, 3, "/s/b.jsonl", ["g"], "lantern only", "conversation", None, True, "/v", "same_repository"),
+        (2, 1, "/s/a.jsonl", ["q"], None, "conversation", None, True, None, None)],
+        "query_id long, rank_no int, session_path string, entry_ids array<string>, content string, evidence_kind string, summary_kind string, is_active boolean, cwd string, relation string")
+    expected = spark.createDataFrame([
+        (1, 0, "a.jsonl", "f", ["Copper"], "turn_context", None, "abandoned", "/w", "same_repository", ["e"]), (1, 1, "b.jsonl", "g", ["lantern"], None, None, "abandoned", "/w", "same_repository", None),
+        (2, 0, "a.jsonl", "q", ["text"], None, None, None, None, None, None)],
+        "query_id long, source_no int, session_file string, entry_id string, required_text array<string>, want_evidence string, want_summary string, want_branch string, want_origin string, want_relation string, required_entries array<string>")
+    shown = members.select("query_id", "rank_no", F.col("content").alias("text"))
+    cases = spark.createDataFrame([(1, ["COPPER"], 2), (2, [], 1), (3, [], 0)], "query_id long, required_context array<string>, least_sources int")
+    got = evaluation.case_quality(members, shown, expected, cases, [1, 2, 3])
+    rows = {(r.query_id, r.k): (r.recalled, r.preserved, r.preserved_enough, r.context, r.origins, r.relations, r.contributing, r.branches) for r in got.collect()}
+    assert rows[1, 1] == (False, 0, False, False, False, False, False, False) and rows[1, 2] == (True, 1, False, True, False, False, False, False)
+    assert rows[1, 3] == (True, 2, True, True, False, True, True, False) and rows[2, 3][:4] == (False, 0, False, False) and rows[3, 1][2] is True
+    summary = evaluation.quality_summary(got)
+    assert {r.k: round(r.recalled, 3) for r in summary.collect()} == {1: 0.0, 2: 0.333, 3: 0.333}
+    text = evaluation.report(summary).split("\n")
+    assert len(text) == 5 and text[4].startswith("| 3 | 3 | 33.3% |") and evaluation.report(evaluation.quality_summary(got.limit(0))).count("\n") == 1
