@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunking as ck
 from ..functions.invocations import invocations
+from .forest import whole_groups
 
 DOCUMENT = (
     "session_path string, session_id string, id string, checksum string, schema_version int, document_kind string, summary_kind string, evidence_kind string, "
@@ -264,11 +265,24 @@ def documents(session_path: str, logical: str, g: Graph, policy: ck.ChunkPolicy,
     return rows
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=COLUMNS).astype(object)
+def _frame(rows: list[dict], names: list[str] = COLUMNS) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=names).astype(object)
     return out.where(out.notna(), None)
 
 
+def _each_session(records: DataFrame, rows_of: Callable[[pd.DataFrame], list[dict]], schema: str) -> DataFrame:
+    """Rows of every logical session of valid files; sessions are co-located by one shuffle, and small ones share a frame."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in whole_groups(batches, "part"):
+            yield _frame([r for _, one in g.groupby("part", sort=False) for r in rows_of(one)], names)
+
+    part = F.concat_ws("\0", "session_path", "session_no").alias("part")
+    valid = records.where("error is null").select(part, "session_path", "session_no", "session_id", "format", "line", "record_json")
+    return valid.repartition("part").sortWithinPartitions("part", "line").mapInPandas(frames, schema)
+
+
 def _records(group: pd.DataFrame) -> list[tuple[int, dict]]:
     g = group.sort_values("line")
     return [(int(n), json.loads(t)) for n, t in zip(g["line"], g["record_json"])]
@@ -280,21 +294,17 @@ def project_graph(records: DataFrame) -> DataFrame:
     A session that breaks a rule gives one row with ``error``; a valid one without entries gives one row with
     null entry_id. Rejected files are left out.
     """
-    names = [c.split()[0] for c in ENTRY.split(", ")]
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def rows(group: pd.DataFrame) -> list[dict]:
         base = {"session_path": group["session_path"].iloc[0], "session_no": int(group["session_no"].iloc[0]), "session_id": group["session_id"].iloc[0]}
         try:
             g = Graph(_records(group))
-            rows = [base | {
-                "entry_id": e["id"], "parent_id": e["parent"], "depth": g.depth[e["id"]], "child_ids": g.children[e["id"]], "is_active": e["id"] in g.active, "is_visible": e["id"] in g.visible,
-                "leaf_ids": g.leaves_of[e["id"]], "compacted_by": g.compacted.get(e["id"], []), "line": e["line"], "record_type": e["record"]["type"]} for e in g.entries] or [base]
         except ValueError as e:
-            rows = [base | {"error": str(e)}]
-        out = pd.DataFrame(rows, columns=names).astype(object)
-        return out.where(out.notna(), None)
+            return [base | {"error": str(e)}]
+        return [base | {
+            "entry_id": e["id"], "parent_id": e["parent"], "depth": g.depth[e["id"]], "child_ids": g.children[e["id"]], "is_active": e["id"] in g.active, "is_visible": e["id"] in g.visible,
+            "leaf_ids": g.leaves_of[e["id"]], "compacted_by": g.compacted.get(e["id"], []), "line": e["line"], "record_type": e["record"]["type"]} for e in g.entries] or [base]
 
-    return records.where("error is null").groupBy("session_path", "session_no").applyInPandas(run, ENTRY)
+    return _each_session(records, rows, ENTRY)
 
 
 def _known(group: pd.DataFrame) -> Known:
@@ -316,43 +326,37 @@ def project_sessions(records: DataFrame, policy: ck.ChunkPolicy | None = None, c
     """
     policy = policy or ck.ChunkPolicy()
 
-    def one(group: pd.DataFrame, known: Known | None) -> pd.DataFrame:
+    def one(group: pd.DataFrame, known: Known | None = None) -> list[dict]:
         path, sid = group["session_path"].iloc[0], group["session_id"].iloc[0]
         try:
             recs = _records(group)
             logical = f"{sid}@{recs[0][0]}" if group["format"].iloc[0] == "reuse_history" else sid
-            return _frame(documents(path, logical, Graph(recs), policy, count, known))
+            return documents(path, logical, Graph(recs), policy, count, known)
         except ValueError as e:
-            return _frame([{"session_path": path, "session_id": sid, "error": str(e)}])
+            return [{"session_path": path, "session_id": sid, "error": str(e)}]
 
-    valid = records.where("error is null")
     if earlier is None:
-        return valid.groupBy("session_path", "session_no").applyInPandas(lambda g: one(g, None), DOCUMENT)
+        return _each_session(records, one, DOCUMENT)
 
     def file(group: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         known = _known(before)
-        parts = [one(g, known) for _, g in group.groupby("session_no", sort=True)]
-        return pd.concat(parts, ignore_index=True) if parts else _frame([])
+        return _frame([r for _, g in group.groupby("session_no", sort=True) for r in one(g, known)])
 
     spans = earlier.where("error is null").select("session_path", "projection_input_id", "input_checksum", "chunk_index", "chunk_count", "char_start", "char_end", "token_start", "token_end", "n_tokens", "overlap_tokens", "content")
-    return valid.groupBy("session_path").cogroup(spans.groupBy("session_path")).applyInPandas(file, DOCUMENT)
+    return records.where("error is null").groupBy("session_path").cogroup(spans.groupBy("session_path")).applyInPandas(file, DOCUMENT)
 
 
 def project_invocations(records: DataFrame, own_tools: frozenset[str] = frozenset()) -> DataFrame:
     """Tool calls and shell executions of all valid sessions, without calls of ``own_tools``."""
-    names = [c.split()[0] for c in INVOCATION.split(", ")]
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def rows(group: pd.DataFrame) -> list[dict]:
         path, sid = group["session_path"].iloc[0], group["session_id"].iloc[0]
         try:
             g = Graph(_records(group))
         except ValueError:
-            return pd.DataFrame([], columns=names)
-        rows = [r | {"session_path": path, "session_id": sid, "cwd": g.header["cwd"]} for r in invocations(g.entries, own_tools)]
-        out = pd.DataFrame(rows, columns=names).astype(object)
-        return out.where(out.notna(), None)
+            return []
+        return [r | {"session_path": path, "session_id": sid, "cwd": g.header["cwd"]} for r in invocations(g.entries, own_tools)]
 
-    return records.where("error is null").groupBy("session_path", "session_no").applyInPandas(run, INVOCATION)
+    return _each_session(records, rows, INVOCATION)
 
 
 def unique_documents(docs: DataFrame) -> DataFrame:
