@@ -20,18 +20,32 @@ from ..functions.text import words
 from ..operators.components import components
 from ..runtime import materialize, release, small_side
 
-#: Tokens held by more classes are indexed only in combination with others.
-RARE = 64
+#: Tokens held by more classes are indexed only in combination with others, which costs a row for each other token.
+RARE = 512
 #: Posting lists of combinations above this length are extended by one more token where that lessens the pairs.
 HOT = 256
 MOST_TOKENS = 6
-#: Up to this many frequencies are sent to the tasks; more are joined.
-MOST_KNOWN = 500_000
-#: Frequencies up to this one need not be told apart for the order, if that keeps the sent table small.
-TOLD_FROM = 8
+#: The table of frequencies that is sent to the tasks has at most this many places of one byte; beyond, tokens share places.
+MOST_KNOWN = 1 << 26
+PAGE_BITS = 16
 TOKEN_BITS = 40
-#: Frequencies from here on count as equal; the order of tokens stays the same everywhere.
-MOST_DF = (1 << (63 - TOKEN_BITS)) - 1
+ODD = ["odd_0", "odd_1"]
+
+
+def _level(df: np.ndarray) -> np.ndarray:
+    """Frequencies as one byte: exact below 32, then eight steps an octave."""
+    return np.where(df < 32, df, np.minimum(32 + 8 * np.log2(np.maximum(df, 32) / 32), 255)).astype(np.uint8)
+
+
+def _page(size: int) -> Callable[[pa.Table], pa.Table]:
+    """Arrow function that lays the tokens of a page on their places; a place keeps the highest of its frequencies."""
+
+    def lay(rows: pa.Table) -> pa.Table:
+        levels = np.zeros(size, np.uint8)
+        np.maximum.at(levels, rows["token"].to_numpy() & (size - 1), _level(rows["df"].to_numpy()))
+        return pa.table({"page": rows["page"][:1].cast(pa.int32()), "levels": pa.array([levels.tobytes()], pa.binary())})
+
+    return lay
 
 
 def _sets(items: DataFrame, width: int, least_words: int) -> DataFrame:
@@ -53,25 +67,31 @@ def _at_least(num: int, den: int, n: Column) -> Column:
 
 
 def _cutter(known, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Arrow function that orders each set by (told frequency, hash) and keeps its extended prefix."""
+    """Arrow function that orders each set by (level, hash) and keeps its extended prefix, without the tokens of no other set.
+
+    Of 128 classes of tokens, odd_0 and odd_1 mark those of which a set holds an odd number.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, often = known.value
-        order = np.argsort(tokens)
-        tokens, often = tokens[order], often[order]
+        levels = np.frombuffer(known.value, np.uint8)
         for batch in batches:
             sets = batch.column("tokens")
-            flat, n = sets.flatten().to_numpy(), sets.value_lengths().to_numpy()
-            at = np.minimum(np.searchsorted(tokens, flat), max(len(tokens) - 1, 0))
-            told = np.where(tokens[at] == flat, often[at], 0) if len(tokens) else np.zeros(len(flat), np.int64)
-            ranked = (told << TOKEN_BITS) | flat
+            flat, n = sets.flatten().to_numpy(), sets.value_lengths().to_numpy().astype(np.int64)
+            ranked = (levels[flat & (len(levels) - 1)].astype(np.int64) << TOKEN_BITS) | flat
             row = np.repeat(np.arange(len(n)), n)
             ranked = ranked[np.lexsort((ranked, row))]
-            keep = np.minimum(n, n - (n.astype(np.int64) * num + den - 1) // den + MOST_TOKENS)
+            keep = np.minimum(n, n - (n * num + den - 1) // den + MOST_TOKENS)
             place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-            ends = np.concatenate(([0], np.cumsum(keep))).astype(np.int32)
-            pre = pa.ListArray.from_arrays(pa.array(ends), pa.array(ranked[place < np.repeat(keep, n)]))
-            yield pa.RecordBatch.from_arrays([batch.column("class_id"), pa.array(n, pa.int32()), pre], ["class_id", "n", "pre"])
+            shared = ranked >= 1 << TOKEN_BITS
+            skip = n - np.bincount(row[shared], minlength=len(n))
+            held = shared & (place < np.repeat(keep, n))
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row[held], minlength=len(n))))).astype(np.int32)
+            pre = pa.ListArray.from_arrays(pa.array(ends), pa.array(ranked[held]))
+            bit = flat >> (TOKEN_BITS - 7)
+            marks = [np.bitwise_xor.reduceat(np.where(bit >> 6 == half, np.left_shift(1, bit & 63), 0), np.cumsum(n) - n) if len(n) else n for half in (0, 1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("class_id"), pa.array(n, pa.int32()), pa.array(skip, pa.int32()), pre, *map(pa.array, marks)],
+                ["class_id", "n", "skip", "pre", "odd_0", "odd_1"])
 
     return cut
 
@@ -89,49 +109,52 @@ class NearDuplicates:
         self.num, self.den = similarity
         self.items = items.select(F.col("id").cast("long").alias("id"), "text").where("id is not null and text is not null")
         self.width, self.least_words = width, least_words
-        signed = _sets(self.items, width, least_words).select("id", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("s1"), F.xxhash64(F.lit(7), "tokens").alias("s2"))
-        marked, _ = materialize(spark, signed, "neardup-signed")
-        first = marked.groupBy("n", "s1", "s2").agg(F.min("id").alias("class_id"))
-        self.members, _ = materialize(spark, marked.join(first, ["n", "s1", "s2"]).select("id", "class_id"), "neardup-members")
+        sets = _sets(self.items, width, least_words).select("id", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("s1"), F.xxhash64(F.lit(7), "tokens").alias("s2"), "tokens")
+        self._sets, self._sets_path = materialize(spark, sets, "neardup-sets")
+        signed = self._sets.drop("tokens")
+        first = signed.groupBy("n", "s1", "s2").agg(F.min("id").alias("class_id"))
+        self.members, _ = materialize(spark, signed.join(first, ["n", "s1", "s2"]).select("id", "class_id"), "neardup-members")
         self._links: DataFrame | None = None
         self._scratch: list[str] = []
 
     def _prefixes(self) -> DataFrame:
-        """(class_id, n, pre): each class's extended prefix, rarest tokens first.
+        """(class_id, n, skip, pre, odd_0, odd_1): each class's extended prefix, rarest tokens first, without its first ``skip`` tokens, which no other class has.
 
-        Frequencies are counted over all classes, combined in the map tasks. Only those above a floor
-        matter for the order: tokens below it are ordered by their hash, which is the same everywhere.
-        So the prefix is cut in the row that holds the set, and no token row is shuffled to its class;
-        beyond ``most_known`` frequent tokens the frequencies are joined instead.
+        Frequencies are counted over all classes, combined in the map tasks. The order only has to be
+        the same everywhere, so a table of one byte for each place that tokens hash to is enough: its
+        size is bounded, and where tokens share a place the more frequent one stands for both. The
+        prefix is cut in the row that holds the set, and no token row is shuffled to its class.
         """
-        copies = small_side(self.spark, self.members.where("id <> class_id").select("id"), "neardup-copies")
-        sets = _sets(self.items.join(copies, "id", "left_anti"), self.width, self.least_words).withColumnRenamed("id", "class_id")
-        rows = sets.select("class_id", F.explode("tokens").alias("token"))
-        low = min(TOLD_FROM, self.rare)
-        told, _ = materialize(self.spark, rows.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > low), "neardup-frequencies")
-        told = told.withColumn("df", F.least("df", F.lit(MOST_DF)))
-        sent = next((t for t in (told, told.where(F.col("df") > self.rare)) if t.count() <= self.most_known), None)
-        room = lambda n: n - _at_least(self.num, self.den, n) + MOST_TOKENS
-        if sent is not None:
-            table = sent.toArrow()
-            known = self.spark.sparkContext.broadcast((table["token"].to_numpy(), table["df"].to_numpy()))
-            return sets.mapInArrow(_cutter(known, self.num, self.den), "class_id long, n int, pre array<long>")
-        ranked = F.shiftleft(F.coalesce("df", F.lit(0).cast("long")), TOKEN_BITS).bitwiseOR(F.col("token"))
-        held = rows.join(told, "token", "left").groupBy("class_id").agg(F.sort_array(F.collect_list(ranked)).alias("tokens"))
-        n = F.size("tokens")
-        return held.select("class_id", n.alias("n"), F.slice("tokens", F.lit(1), room(n).cast("int")).alias("pre"))
+        copies, firsts = self.members.where("id <> class_id").select("id"), self.members.where("id = class_id").select("id")
+        alone = self.members.agg(F.count_if(F.col("id") == F.col("class_id"))).first()[0] * 2 > self.members.count()
+        how = (small_side(self.spark, copies, "neardup-copies"), "id", "left_anti") if alone else (small_side(self.spark, firsts, "neardup-firsts"), "id", "left_semi")
+        sets = self._sets.select("id", "tokens").join(*how).withColumnRenamed("id", "class_id")
+        counted = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+        shared, path = materialize(self.spark, counted, "neardup-frequencies")
+        bits = min(shared.count().bit_length(), max(self.most_known, 1).bit_length() - 1)
+        page = min(bits, PAGE_BITS)
+        at = F.shiftright(F.col("token").bitwiseAND((1 << bits) - 1), page).cast("int").alias("page")
+        pages = shared.select(at, "token", "df").groupBy("page").applyInArrow(_page(1 << page), "page int, levels binary").toArrow()
+        levels = bytearray(1 << bits)
+        for no, part in zip(pages["page"].to_pylist(), pages["levels"].to_pylist()):
+            levels[no << page:(no + 1) << page] = part
+        release(self.spark, path)
+        return sets.mapInArrow(_cutter(self.spark.sparkContext.broadcast(bytes(levels)), self.num, self.den), "class_id long, n int, skip int, pre array<long>, odd_0 long, odd_1 long")
 
     def links(self) -> DataFrame:
         """(class_a, class_b, common, n_a, n_b): pairs of different classes with at least the similarity, a < b."""
         if self._links is not None:
             return self._links
         index = self._index()
-        side = lambda x: index.select("key", "one", *[F.col(c).alias(f"{c.removesuffix('_id')}_{x}") for c in ("class_id", "n", "paired", "pos")])
+        side = lambda x: index.select("key", "one", *[F.col(c).alias(f"{c.removesuffix('_id')}_{x}") for c in ("class_id", "n", "paired", "pos", *ODD)])
         sized = F.least("n_a", "n_b") * self.den >= F.greatest("n_a", "n_b") * self.num
         behind = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
         wanted = (F.col("n_a") + F.col("n_b")) * self.num
+        # two sets differ in a token at least for each mark that only one of them has
+        apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in ODD), F.lit(0))
+        alike = apart * (self.num + self.den) <= (F.col("n_a") + F.col("n_b")) * (self.den - self.num)
         # common tokens lie behind the met one or ahead of it
-        met = side("a").join(side("b"), ["key", "one"]).where((F.col("class_a") < F.col("class_b")) & sized & ((behind + F.least("pos_a", "pos_b")) * (self.num + self.den) >= wanted))
+        met = side("a").join(side("b"), ["key", "one"]).where((F.col("class_a") < F.col("class_b")) & sized & ((behind + F.least("pos_a", "pos_b")) * (self.num + self.den) >= wanted) & alike)
         # every common token from the first on lies behind the first one's position in both sets
         enough = behind * (self.num + self.den) >= wanted
         # common tokens are met alone, or are frequent ones of both prefixes, or lie behind one of the prefixes
@@ -152,26 +175,29 @@ class NearDuplicates:
         return self._links
 
     def _index(self) -> DataFrame:
-        """Posting rows (class_id, n, paired, key, one, pos): single rare tokens and combinations of frequent ones.
+        """Posting rows (class_id, n, odd_0, odd_1, paired, key, one, pos): single rare tokens and combinations of frequent ones.
 
         Sets so small that one common token suffices have their frequent tokens indexed alone, too.
 
         A combination's posting list above ``hot`` classes is replaced by those of all its extensions by
         one later token of prefixes extended as far, if these together make fewer pairs; a set of near
         copies, which every extension keeps together, stays with the shorter key. Whether a key is
-        extended depends on the key alone, so both sides of a pair meet at the same length.
+        extended depends on the key alone, so both sides of a pair meet at the same length. Sets so
+        small that fewer common tokens than the extension has suffice stay with the shorter key, too.
         """
         pre, path = materialize(self.spark, self._prefixes(), "neardup-prefixes")
         self._scratch.append(path)
+        release(self.spark, self._sets_path)
+        rare = int(_level(np.array([self.rare]))[0])
         o = _at_least(self.num, self.den, F.col("n"))
-        numbered = pre.select("class_id", "n", (F.col("n") - o).alias("free"), F.transform("pre", lambda t, i: F.struct(F.shiftright(t, TOKEN_BITS).alias("df"), t.alias("token"), i.alias("pos"))).alias("pre"))
-        single = F.transform(F.filter("pre", lambda t: ((t["df"] <= self.rare) | (o < 2)) & (t["pos"] <= F.col("free"))), lambda t: F.struct(t["token"].alias("key"), t["pos"].alias("pos"), t["pos"].alias("last"), F.lit(True).alias("one")))
-        common = F.filter("pre", lambda t: (t["df"] > self.rare) & (t["pos"] <= F.col("free") + 1))
-        split = numbered.select("class_id", "n", single.alias("single"), common.alias("common"))
+        numbered = pre.select("class_id", "n", *ODD, (F.col("n") - o).alias("free"), F.transform("pre", lambda t, i: F.struct(F.shiftright(t, TOKEN_BITS).alias("level"), t.alias("token"), (i + F.col("skip")).alias("pos"))).alias("pre"))
+        single = F.transform(F.filter("pre", lambda t: ((t["level"] <= rare) | (o < 2)) & (t["pos"] <= F.col("free"))), lambda t: F.struct(t["token"].alias("key"), t["pos"].alias("pos"), t["pos"].alias("last"), F.lit(True).alias("one")))
+        common = F.filter("pre", lambda t: (t["level"] > rare) & (t["pos"] <= F.col("free") + 1))
+        split = numbered.select("class_id", "n", *ODD, single.alias("single"), common.alias("common"))
         double = F.flatten(F.transform("common", lambda x, i: F.transform(
             F.slice(F.col("common"), i + 2, F.size("common")),
             lambda y: F.struct(F.xxhash64(x["token"], y["token"]).alias("key"), x["pos"].alias("pos"), y["pos"].alias("last"), F.lit(False).alias("one")))))
-        posted = split.select("class_id", "n", F.size("common").alias("paired"), F.explode(F.concat("single", double)).alias("k")).select("class_id", "n", "paired", "k.*")
+        posted = split.select("class_id", "n", *ODD, F.size("common").alias("paired"), F.explode(F.concat("single", double)).alias("k")).select("class_id", "n", *ODD, "paired", "k.*")
         hot, path = self._hot_keys(posted.where("not one"))
         self._scratch.append(path)
         if hot.isEmpty():
@@ -181,8 +207,8 @@ class NearDuplicates:
         for size in range(3, MOST_TOKENS + 1):
             chosen = small_side(self.spark, hot, "neardup-hot")
             reach = F.filter("pre", lambda t: (t["pos"] > F.col("last")) & (t["pos"] <= F.col("free") + (size - 1)))
-            longer = level.join(chosen, "key", "left_semi").join(tails, "class_id").select("class_id", "n", "paired", F.col("key").alias("stem"), "pos", F.explode(reach).alias("t")).select(
-                "class_id", "n", "paired", "stem", F.xxhash64("stem", "t.token").alias("key"), "pos", F.col("t.pos").alias("last"), F.lit(False).alias("one"))
+            longer = level.join(chosen, "key", "left_semi").join(tails, "class_id").select("class_id", "n", *ODD, "paired", F.col("key").alias("stem"), "pos", F.explode(reach).alias("t")).select(
+                "class_id", "n", *ODD, "paired", "stem", F.xxhash64("stem", "t.token").alias("key"), "pos", F.col("t.pos").alias("last"), F.lit(False).alias("one"))
             longer, path = materialize(self.spark, longer, "neardup-longer")
             self._scratch.append(path)
             square = F.col("held").cast("double") * F.col("held")
@@ -190,6 +216,7 @@ class NearDuplicates:
             gains = spread.join(hot, spread["stem"] == hot["key"]).where("after < before").select("stem")
             gains = small_side(self.spark, gains, "neardup-extended")
             kept.append(level.join(gains, level["key"] == gains["stem"], "left_anti"))
+            kept.append(level.where(o < size).join(gains, level["key"] == gains["stem"], "left_semi"))
             level = longer.join(gains, "stem", "left_semi").drop("stem")
             hot, path = self._hot_keys(level)
             self._scratch.append(path)

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from sessionloom.llm import neardup
 from sessionloom.llm.neardup import NearDuplicates
 
 ITEM = "id long, text string, class_id string"
@@ -70,3 +71,34 @@ def test_empty_and_hot_copies(spark):
     rows = [(i, "one two three four five six seven", "x") for i in range(60)] + [(100, "one two three four five six seven eight", "x")]
     near = NearDuplicates(spark, spark.createDataFrame(rows, ITEM), 3, (3, 5))
     assert near.pairs().count() == 61 * 60 // 2 and near.links().count() == 1
+
+
+def test_texts_of_shared_runs_are_not_candidates(spark, monkeypatch):
+    """Runs shared by dozens of texts make few candidates, though more runs are frequent than places are sent."""
+    r = random.Random(5)
+    half = lambda: " ".join(f"the a{r.randrange(9)} b{r.randrange(9)} keeps c{r.randrange(9)} away" for _ in range(7))
+    texts = [half() for _ in range(400)]
+    texts += [" ".join(t.split()[:-1] + ["gone"]) for t in texts[:20]]
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    written = {}
+    kept = neardup.materialize
+
+    def counting(s, df, tag):
+        out = kept(s, df, tag)
+        written[tag] = written.get(tag, 0) + out[0].count()
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", counting)
+    near = NearDuplicates(spark, spark.createDataFrame(rows, ITEM), 3, (3, 5), 6, most_known=64)
+    want = brute(rows, 3, 3, 5, 6)
+    assert {(x.id_a, x.id_b) for x in near.pairs().collect()} == want and len(want) >= 20
+    assert written["neardup-candidates"] <= 3 * len(want)
+
+
+def test_extended_keys_keep_pairs_of_small_sets(spark):
+    """Sets of three words that share just two keep meeting where their pair of words is extended."""
+    texts = [f"a b x{i}" for i in range(4)] + [f"x{i} p{i}{j} q{i}{j}" for i in range(4) for j in range(5)]
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    near = NearDuplicates(spark, spark.createDataFrame(rows, ITEM), 1, (1, 2), 1, rare=0, hot=2)
+    want = brute(rows, 1, 1, 2, 1)
+    assert len(want) == 6 and {(x.id_a, x.id_b) for x in near.pairs().collect()} == want
